@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing
+from . import decontam, mixing, quality
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
-ORACLES = {"op1_mixing": mixing.SQL}
+QUERIES = {"op1_mixing": mixing.op1_mixing, "op2_quality": quality.op2_quality, "op7_decontamination": decontam.op7_decontamination}
+ORACLES = {"op1_mixing": mixing.SQL, "op2_quality": quality.SQL, "op7_decontamination": decontam.SQL}
