@@ -1,6 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontam, mixing, quality
+from . import decontam, mixing, quality, tokens
 
-QUERIES = {"op1_mixing": mixing.op1_mixing, "op2_quality": quality.op2_quality, "op7_decontamination": decontam.op7_decontamination}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op10_tokens": tokens.op10_tokens,
+}
 ORACLES = {"op1_mixing": mixing.SQL, "op2_quality": quality.SQL, "op7_decontamination": decontam.SQL}
