@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontam, mixing, quality, tokens
+from . import decontam, mixing, quality, tokens, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op7_decontamination": decontam.op7_decontamination,
+    "op9_warc": warc.op9_warc,
     "op10_tokens": tokens.op10_tokens,
 }
-ORACLES = {"op1_mixing": mixing.SQL, "op2_quality": quality.SQL, "op7_decontamination": decontam.SQL}
+ORACLES = {"op1_mixing": mixing.SQL, "op2_quality": quality.SQL, "op7_decontamination": decontam.SQL, "op9_warc": warc.SQL}
