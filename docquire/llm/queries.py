@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontam, mixing, quality, tokens, warc
+from . import decontam, mixing, near_dup, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op5_near_duplicates": near_dup.op5_near_duplicates,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontam.op7_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_tokens": tokens.op10_tokens,
