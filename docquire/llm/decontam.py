@@ -112,13 +112,13 @@ def decontaminate(
             hit = hit.select("doc_id", "key", start.alias("start"), "len", "items")
             found = hit if found is None else found.unionByName(hit)
         found = found.groupBy("doc_id", "key").agg(
-            F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+            F.collect_set(F.struct("start", "len")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
         )
         zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         step = lambda a, s: F.struct(
             F.greatest(a["end"], s["start"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(a["end"], s["start"]))).alias("n")
         )
-        found = found.select("doc_id", "key", F.aggregate(F.array_sort("spans"), zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "items")
+        found = found.select("doc_id", "key", F.aggregate(F.sort_array("spans"), zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "items")
         same = counted["doc_id"].eqNullSafe(found["doc_id"]) & (counted["key"] == found["key"])
         rows = counted.join(found, same, "left").select(counted["doc_id"], counted["key"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "items")
     else:

@@ -29,13 +29,13 @@ def repeated_words(ws: Column) -> Column:
 
 def covered_words(grams: Column, size: int) -> Column:
     """Number of words that windows of ``size`` words with a hash found twice in ``grams`` cover."""
-    pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # each pair beside its neighbours: equal to one of them means repeated
     n = F.size(grams)
     none = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("i")))
     near = F.arrays_zip(pairs.alias("at"), F.concat(none, F.slice(pairs, F.lit(1), F.greatest(n - 1, F.lit(0)))).alias("prev"), F.slice(pairs, F.lit(2), F.greatest(n, F.lit(1))).alias("next"))
     twice = F.filter(near, lambda x: F.coalesce(x["at"]["h"] == x["prev"]["h"], F.lit(False)) | F.coalesce(x["at"]["h"] == x["next"]["h"], F.lit(False)))
-    at = F.array_sort(F.transform(twice, lambda x: x["at"]["i"]))
+    at = F.sort_array(F.transform(twice, lambda x: x["at"]["i"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(at, start, lambda a, i: F.struct((i + size).alias("end"), (a["n"] + i + size - F.greatest(a["end"], i)).alias("n")), lambda a: a["n"])
 
