@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -85,6 +86,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES, times: int = 4) -> DataFr
     return F.broadcast(df) if settled_bytes(df) * times <= limit else df
 
 
+def blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """A settled table as broadcastable parts: one if it is small, else as many by hash of ``key`` as fit the limit."""
+    n = max(1, math.ceil(4 * settled_bytes(df) / BROADCAST_BYTES))
+    return [F.broadcast(df if n == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))

@@ -10,12 +10,10 @@ Candidates are made and verified inside one stage of the scan, before any shuffl
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, settle, settled_bytes, table, text_key
+from .common import blocks, settle, table, text_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,12 +38,6 @@ def _shingle(ws: Column, at: Column, first: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), first, *[F.get(ws, at + i) for i in range(1, size)])
 
 
-def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
-    """``df``, a settled table, as broadcastable parts: one if it is small, else parts by hash."""
-    n = max(1, math.ceil(4 * settled_bytes(df) / BROADCAST_BYTES))
-    return [F.broadcast(df if n == 1 else df.filter(F.pmod(F.col(key), F.lit(n)) == i)) for i in range(n)]
-
-
 def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """A row for each word position and shingle size, with the shingle's hash."""
     rows = docs.select("*", F.posexplode("ws").alias("at", "word"))
@@ -95,7 +87,7 @@ def decontaminate(
         # rarity: how often the corpus has each shingle of the windows
         names = settle(shingles.select("shingle").distinct(), "shingle-names")
         counts = None
-        for block in _blocks(names, "shingle"):
+        for block in blocks(names, "shingle"):
             c = _positions(source.select("ws"), sizes).join(block, "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
             counts = c if counts is None else counts.unionByName(c)
         counts = settle(counts, "rarity")
@@ -104,7 +96,7 @@ def decontaminate(
         # a shingle that the corpus lacks rules its window out
         prefix = rarest.filter(F.col("x.n") > 0).select("wid", "x.shingle", "x.offset")
         keyed = settle(prefix.join(wins, "wid").select("shingle", "offset", "win", "len", "items"), "prefixes")
-        for block in _blocks(keyed, "shingle"):
+        for block in blocks(keyed, "shingle"):
             hit = _positions(source, sizes).join(block, "shingle")
             start = F.col("at") - F.col("offset")
             hit = hit.filter((start >= 0) & (start + F.col("len") <= F.size("ws")))

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontam, mixing, near_dup, quality, substring_dedup, tokens, toxicity, warc
+from . import decontam, mixing, near_dup, pii, quality, substring_dedup, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontam.op7_decontamination,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_warc": warc.op9_warc,
     "op10_tokens": tokens.op10_tokens,
 }
