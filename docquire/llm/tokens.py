@@ -55,7 +55,8 @@ class WordEncoder:
     ODD = re.compile("[\x1c-\x1f]")
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
     PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
-    MOST = 300_000
+    #: About 200 bytes each: some 350 MB in a worker when both caches are full.
+    MOST_WORDS, MOST_PIECES = 800_000, 1_000_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -82,9 +83,9 @@ class WordEncoder:
                 self.pieces.update(zip(part, self._whole(part), strict=True))
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.words) > self.MOST:
+        if len(self.words) > self.MOST_WORDS:
             self.words.clear()
-        if len(self.pieces) > self.MOST:
+        if len(self.pieces) > self.MOST_PIECES:
             self.pieces.clear()
         plain = [w for w in new if self.PLAIN.fullmatch(w)]
         parts = [self.PIECE.findall(w.lower()) for w in plain]
