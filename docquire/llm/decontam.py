@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, settle, table, text_key
+from .common import blocks, settle, small, table, text_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -129,8 +129,9 @@ def decontaminate(
 
 def clean_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, in all their columns."""
-    bad = decontaminate(docs, bench, id_col, text_col, **how).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (text_key(docs[text_col]) == bad["bad_key"]), "left_anti")
+    bad = decontaminate(docs, bench, id_col, text_col, **how).filter("contaminated")
+    bad = small(settle(bad.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")), "contaminated"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (text_key(docs[text_col]) == bad["_bad_key"]), "left_anti")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, small, table, text_key
 
 #: Symbols of the character model: 0 is a word's edge, the last any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -283,10 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(characters, weights, logistic(design(best, n), (label > 0).astype(float)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per row; with ``keep`` the columns of ``docs`` as a struct ``row`` as well.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, key`` (hash of the text), ``held_out, score, predicted`` per row.
 
     Null and empty texts have no markers and get the score of such documents. Repeated rows get equal rows; an empty table none.
+    Only the named columns are read.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,21 +296,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             got = [measure(t.as_py()) for t in batch.column("text")]
             best, n = (np.array([g[i] for g in got], float) for i in range(2))
             p = 1 / (1 + np.exp(-np.clip(design(best, n) @ model.beta, -30, 30))) if got else np.zeros(0)
-            columns = {f: batch.column(f) for f in batch.schema.names if f != "text"}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(p, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(p, pa.float64())], names=["doc_id", "key", "score"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep else []))
-    schema = source.drop("text").schema.add("score", "double")
-    out = source.mapInArrow(scored, schema)
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(["row"] if keep else []))
+    source = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    out = source.mapInArrow(scored, source.drop("text").schema.add("score", "double"))
+    return out.select("doc_id", "key", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, in all their columns."""
-    kept = score(docs, fit(docs, labels, id_col, text_col, **how), id_col, text_col, keep=True).filter("predicted = 0")
-    return kept.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    bad = score(docs, fit(docs, labels, id_col, text_col, **how), id_col, text_col).filter("predicted = 1")
+    bad = small(settle(bad.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")), "toxic"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (text_key(docs[text_col]) == bad["_bad_key"]), "left_anti")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("key")
