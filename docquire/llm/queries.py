@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import decontam, mixing, near_dup, pii, quality, substring_dedup, tokens, toxicity, warc
+from . import decontam, mixing, near_dup, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op6_toxicity": toxicity.op6_toxicity,

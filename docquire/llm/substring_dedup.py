@@ -82,13 +82,22 @@ def repeated(twice: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged_sketch(docs: DataFrame, text_col: str, window: int, most_cells: int = MOST_CELLS) -> np.ndarray:
-    """The "twice" bits [DEPTH, cells / 8] of the whole corpus's sketch."""
+def _anchor_keys(window: int):
+    def keys(text: pa.Scalar) -> np.ndarray:
+        data = _data(text)
+        best, at = anchors(B.word_hashes(data, *B.word_bounds(data)), window)
+        return best[np.flatnonzero(np.diff(at, prepend=-1))]
+
+    return keys
+
+
+def sketch_of(docs: DataFrame, text_col: str, keys_of, bytes_per_key: int = 20, cells_per_key: int = CELLS_PER_KEY, most_cells: int = MOST_CELLS) -> np.ndarray:
+    """The "twice" bits [DEPTH, cells / 8] of the whole corpus's sketch of ``keys_of(text)``."""
     import zstandard as zstd
 
     size = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     cells = 1 << 16
-    while cells < min(most_cells, size // 20 * CELLS_PER_KEY):  # about one minimizer in twenty bytes
+    while cells < min(most_cells, size // bytes_per_key * cells_per_key):
         cells *= 2
     block = min(BLOCK, cells >> 3)
 
@@ -98,12 +107,7 @@ def merged_sketch(docs: DataFrame, text_col: str, window: int, most_cells: int =
         sketch, press = Sketch(cells), zstd.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                keys = []
-                for text in batch.column(0).slice(i, 256):
-                    data = _data(text)
-                    best, at = anchors(B.word_hashes(data, *B.word_bounds(data)), window)
-                    keys.append(best[np.flatnonzero(np.diff(at, prepend=-1))])
-                sketch.add(np.concatenate(keys))
+                sketch.add(np.concatenate([keys_of(text) for text in batch.column(0).slice(i, 256)]))
         part = TaskContext.get().partitionId()
         for row in range(DEPTH):
             for b in range(0, cells >> 3, block):
@@ -148,7 +152,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never remove from each other. An empty table gives no rows. Only the named columns are read.
     """
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, text_col, window, most_cells))
+    sketch = spark.sparkContext.broadcast(sketch_of(docs, text_col, _anchor_keys(window), most_cells=most_cells))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("name"), text.alias("text"))
 
