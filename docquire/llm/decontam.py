@@ -18,6 +18,10 @@ from .common import blocks, settle, small, table, text_key
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHINGLE = 3
+#: The same words in a text lowered by Spark, which also lowers other letters but moves no word's ends.
+LOWERED = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+#: The one other letter whose lower case is in a-z.
+KELVIN = "\u212a"
 
 
 def tokens(text: Column) -> Column:
@@ -25,6 +29,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({TOKEN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def lowered_tokens(text: Column) -> Column:
+    """The words of the text with all letters lowered: as many as ``tokens``, cheaper, equal where those are."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({LOWERED})"), F.lit(1)), F.array().cast("array<string>"))
+
+
 def item_windows(bench: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """Distinct windows: ``win`` (words), ``len`` and ``items``, the ids as strings. Null ids count as empty strings."""
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), tokens(F.col(text_col)).alias("ws")).filter(F.size("ws") > 0)
@@ -67,11 +76,12 @@ def decontaminate(
     The windows are broadcast if their measured size is small, else in blocks, each against all documents.
     """
     text = F.col(text_col)
-    source = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), tokens(text).alias("ws"))
+    source = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), text.alias("text"), lowered_tokens(text).alias("ws"))
     counted = docs.select(
-        F.col(id_col).alias("doc_id"), text_key(text).alias("key"), F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long").alias("n_words")
+        F.col(id_col).alias("doc_id"), text_key(text).alias("key"), F.coalesce(F.regexp_count(F.lower(text), F.lit(LOWERED)), F.lit(0)).cast("long").alias("n_words")
     )
-    wins = settle(item_windows(bench, item_col, item_text_col, window).withColumn("wid", F.monotonically_increasing_id()), "windows")
+    wins = item_windows(bench, item_col, item_text_col, window).withColumn("low", F.transform("win", F.lower))
+    wins = settle(wins.withColumn("plain", ~F.exists("win", lambda w: w.rlike(r"[^\x00-\x7F]"))).withColumn("wid", F.monotonically_increasing_id()), "windows")
     sizes = [r[0] for r in wins.select(F.least(F.col("len"), F.lit(SHINGLE)).alias("s")).distinct().collect()]  # at most SHINGLE rows
     found = None
     if sizes:
@@ -79,7 +89,7 @@ def decontaminate(
         parts = F.transform(
             F.sequence(F.lit(0), F.col("len") - size),
             lambda i: F.struct(
-                F.when(size == 1, _shingle(F.col("win"), i, F.get("win", i), 1)).when(size == 2, _shingle(F.col("win"), i, F.get("win", i), 2)).otherwise(_shingle(F.col("win"), i, F.get("win", i), 3)).alias("shingle"),
+                F.when(size == 1, _shingle(F.col("low"), i, F.get("low", i), 1)).when(size == 2, _shingle(F.col("low"), i, F.get("low", i), 2)).otherwise(_shingle(F.col("low"), i, F.get("low", i), 3)).alias("shingle"),
                 i.alias("offset"),
             ),
         )
@@ -95,12 +105,15 @@ def decontaminate(
         rarest = ranked.groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("x"))
         # a shingle that the corpus lacks rules its window out
         prefix = rarest.filter(F.col("x.n") > 0).select("wid", "x.shingle", "x.offset")
-        keyed = settle(prefix.join(wins, "wid").select("shingle", "offset", "win", "len", "items"), "prefixes")
+        keyed = settle(prefix.join(wins, "wid").select("shingle", "offset", "win", "low", "plain", "len", "items"), "prefixes")
         for block in blocks(keyed, "shingle"):
             hit = _positions(source, sizes).join(block, "shingle")
             start = F.col("at") - F.col("offset")
             hit = hit.filter((start >= 0) & (start + F.col("len") <= F.size("ws")))
-            hit = hit.filter(F.slice("ws", start + 1, F.col("len")) == F.col("win"))
+            hit = hit.filter(F.slice("ws", start + 1, F.col("len")) == F.col("low"))
+            # lowered words may be equal where other letters than A-Z differ in case
+            exact = F.slice(tokens(F.col("text")), start + 1, F.col("len")) == F.col("win")
+            hit = hit.filter(F.when(~F.col("plain") | F.contains("text", F.lit(KELVIN)), exact).otherwise(F.lit(True)))
             hit = hit.select("doc_id", "key", start.alias("start"), "len", "items")
             found = hit if found is None else found.unionByName(hit)
         found = found.groupBy("doc_id", "key").agg(
