@@ -30,6 +30,8 @@ WINDOW, ANCHOR = 13, 8
 #: Rows of the sketch, cells for each expected key, and the most cells of a row: at most 32 MB reach an executor's worker.
 DEPTH, CELLS_PER_KEY, MOST_CELLS = 2, 3, 1 << 27
 BLOCK = 1 << 20
+#: Documents whose windows are compared before anything is sent on; a window that many documents share is sent once for each.
+TOGETHER = 2048
 LAST = (1 << 63) - 1
 
 
@@ -159,50 +161,64 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sketch.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                counts, shas, at, first, second, texts = [], [], [], [], [], []
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                counts, shas, texts, at, first, second = [], [], [], [], [], []
                 for text in part.column("text"):
                     data = _data(text)
                     hashes = B.word_hashes(data, *B.word_bounds(data))
-                    counts.append(len(hashes))
-                    best, _ = anchors(hashes, window)
-                    found = np.flatnonzero(repeated(twice, best))
+                    found = np.flatnonzero(repeated(twice, anchors(hashes, window)[0]))
                     raw = text.as_py() or b""
+                    counts.append(len(hashes))
                     shas.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                    if len(found):
-                        at.append(found.astype(np.int32))
-                        first.append(B.word_windows(hashes, window)[found].astype(np.int64))
-                        second.append((B.word_windows(hashes, window, B.BYTE_ROLL)[found] >> U(32)).astype(np.uint32).view(np.int32))
-                    else:
-                        at.append(None), first.append(None), second.append(None)
                     texts.append(raw if len(found) or keep_text else None)
-                columns = [pa.array(counts, pa.int64()), pa.array(shas), pa.array(at, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("name"), *columns], names=["doc_id", "name", "n_words", "sha", "at", "h", "c", "text"])
-
-    scanned = source.mapInArrow(scan, "doc_id long, name string, n_words long, sha string, at array<int>, h array<long>, c array<int>, text binary")
+                    at.append(found.astype(np.int32))
+                    first.append(B.word_windows(hashes, window)[found].view(np.int64) if len(found) else np.zeros(0, np.int64))
+                    second.append((B.word_windows(hashes, window, B.BYTE_ROLL)[found] >> U(32)).astype(np.uint32).view(np.int32) if len(found) else np.zeros(0, np.int32))
+                # of equal windows met here, only those of the least id are sent on: for the others it is settled
+                sizes = [len(x) for x in at]
+                rank = np.repeat(part.column("doc_id").fill_null(LAST).to_numpy(), sizes)
+                h, c = np.concatenate(first), np.concatenate(second)
+                order = np.lexsort((rank, c, h))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)
+                least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else rank
+                settled = np.zeros(len(order), bool)
+                settled[order] = rank[order] > least
+                cut = np.split(settled, np.cumsum(sizes)[:-1])
+                lists = [[x[~s] if len(x) and not s.all() else None for x, s in zip(xs, cut, strict=True)] for xs in (at, first, second)]
+                sure = [x[s] if s.any() else None for x, s in zip(at, cut, strict=True)]
+                kinds = (pa.int32(), pa.int64(), pa.int32())
+                columns = [pa.array(counts, pa.int64()), pa.array(shas), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True)), pa.array(sure, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("name"), *columns], names=["doc_id", "name", "n_words", "sha", "at", "h", "c", "sure", "text"])
+
+    scanned = source.mapInArrow(scan, "doc_id long, name string, n_words long, sha string, at array<int>, h array<long>, c array<int>, sure array<int>, text binary")
     scanned = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "*"), "windows")
     copies = scanned.groupBy("name").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("name", "least")
     copies = small(settle(copies, "copies"))
     marked = scanned.join(copies, "name", "left").withColumn("copy", F.coalesce(F.col("rank") > F.col("least"), F.lit(False)))
-    # exact grouping of what the sketch lets through, without the copies
+    # exact grouping of what the sketch lets through, without the copies; the grouping and the look-up share one exchange,
+    # for which both read all columns
     rows = marked.filter(~F.col("copy") & F.col("h").isNotNull()).select("rid", "rank", F.explode(F.arrays_zip("h", "c", "at")).alias("x")).select("rid", "rank", "x.h", "x.c", "x.at")
-    owners = rows.groupBy("h", "c").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("h", "c", "least")
-    gone = rows.join(owners, ["h", "c"]).filter(F.col("rank") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("gone"))
+    rows = rows.repartition("h", "c")
+    owners = rows.groupBy("h", "c").agg(F.min(F.struct("rank", "rid", "at")).alias("first"), F.max("rank").alias("most"))
+    owners = owners.filter(F.col("first.rank") < F.col("most")).select("h", "c", F.col("first.rank").alias("least"))
+    gone = rows.join(owners.hint("merge"), ["h", "c"]).filter(F.col("rank") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("gone"))
     gone = settle(gone, "gone")
-    todo = marked.select("rid", "doc_id", "n_words", "sha", "copy", "text").join(gone, "rid", "left")
+    todo = marked.select("rid", "doc_id", "n_words", "sha", "copy", "sure", "text").join(gone, "rid", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, kept = [], [], []
-            for n, sha, copy, text, gone in zip(batch.column("n_words").to_pylist(), batch.column("sha").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), batch.column("gone"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("n_words", "sha", "copy")] + [batch.column(c) for c in ("text", "gone", "sure")]
+            for n, sha, copy, text, *found in zip(*columns, strict=True):
                 if copy and n >= window:
                     words, lost = [], n
-                elif gone.is_valid and not copy:
+                elif not copy and any(x.is_valid for x in found):
                     edge = np.zeros(n + 1, np.int32)
-                    starts = gone.values.to_numpy()
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
+                    for starts in (x.values.to_numpy() for x in found if x.is_valid):
+                        np.add.at(edge, starts, 1)
+                        np.add.at(edge, starts + window, -1)
                     cover = np.cumsum(edge)[:n] > 0
                     words = [w for w, c in zip(text.as_py().split(), cover.tolist(), strict=True) if not c]
                     lost = int(cover.sum())
