@@ -132,6 +132,24 @@ def _same(c: Column, t: T.DataType, v: Any) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
 
 
+def _list_order(c: Column, t: T.ArrayType, op: str, v: Any) -> Column:
+    """Lists in the order of their first difference; where that has no order, none. Never NULL."""
+    strict = op[:2]
+    parts, same = [], F.lit(True)
+    for i, x in enumerate(v):
+        element = F.get(c, F.lit(i))
+        inside = same & (F.size(c) > i)
+        if strict == "lt":
+            parts.append(same & (F.size(c) == i))
+        parts.append(inside & F.coalesce(_candidate(strict, x)(element, t.elementType), F.lit(False)))
+        same = inside & _same(element, t.elementType, x)
+    if strict == "gt":
+        parts.append(same & (F.size(c) > len(v)))
+    if op.endswith("e"):
+        parts.append(same & (F.size(c) == len(v)))
+    return F.coalesce(reduce(lambda a, b: a | b, parts, F.lit(False)), F.lit(False))
+
+
 def _candidate(op: str, v: Any) -> Callable[[Column, T.DataType], Column]:
     """The test of one candidate that isn't null; may be NULL for "no"."""
 
@@ -144,11 +162,7 @@ def _candidate(op: str, v: Any) -> Callable[[Column, T.DataType], Column]:
         if kind == "document" or (kind == "bool" and op != "eq"):
             return F.lit(False)
         if kind == "array":
-            inner = kind_of_type(t.elementType)
-            if any(kind_of_value(x) != inner for x in v) or inner in ("array", "document", "other"):
-                return F.lit(False)
-            x = F.array(*[literal(e, t.elementType) for e in v]).cast(t)
-            return {"gt": c > x, "gte": c >= x, "lt": c < x, "lte": c <= x}[op] & ~F.exists(c, lambda e: e.isNull())
+            return _list_order(c, t, op, v)
         found = _compare(c, t, op, v)
         return F.lit(found) & c.isNotNull() if isinstance(found, bool) else found
 
