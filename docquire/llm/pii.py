@@ -117,6 +117,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, spans: DataFrame, text_co
     support = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= min_support)
     joint = near.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(support.select("entity", "term"), ["entity", "term"])
     joint = joint.join(known.select("entity", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entity")
+    # a term's documents among those with spans are at least so many of all; what is too common by them already can't disclose
+    near_any = spans.select("rid", F.explode(terms).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    n = F.lit(float(base.count()))
+    content = F.log(n / F.col("n_e"))
+    pmi = lambda n_t: F.log(n * F.col("n_te") / (F.col(n_t) * F.col("n_e")))
+    joint = joint.filter(content > 0).join(near_any, "term").filter(pmi("n_least") >= threshold * content)
     joint = settle(joint, "joint")
     if joint.isEmpty():
         return None
@@ -126,11 +132,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, spans: DataFrame, text_co
     for block in blocks(wanted, "term"):
         part = have.join(block, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
         frequency = part if frequency is None else frequency.unionByName(part)
-    n = F.lit(float(base.count()))
-    rated = joint.join(frequency, "term")
-    content = F.log(n / F.col("n_e"))
-    pmi = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    rated = rated.filter((content > 0) & (pmi >= threshold * content)).select("entity", "term")
+    rated = joint.join(frequency, "term").filter(pmi("n_t") >= threshold * content).select("entity", "term")
     found = _context_terms(known.select("rid", "entity", "start", "end", "before", "after"))
     return found.join(small(settle(rated, "disclosing")), ["entity", "term"]).select("rid", "start", "end").distinct()
 
