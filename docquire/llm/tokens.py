@@ -55,8 +55,8 @@ class WordEncoder:
     ODD = re.compile("[\x1c-\x1f]")
     PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
     PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
-    #: About 200 bytes each: some 350 MB in a worker when both caches are full.
-    MOST_WORDS, MOST_PIECES = 800_000, 1_000_000
+    #: About 200 bytes each: some 250 MB in a worker when both caches are full.
+    MOST_WORDS, MOST_PIECES = 400_000, 600_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
