@@ -7,15 +7,21 @@ their orders (``d``) are derived, alike in Spark and in SQL.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import DuplicateKeyError
+from .functions.bson import bson_from_json, bson_is_valid, bson_to_json
+from .functions.objectid import object_id, object_id_time
 from .operators.constraints import clustered, unique_violations
 from .operators.distinct import distinct
 from .operators.find import Find
 from .operators.update import Change
+from .store import Collection, DocStore
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "events": "event_id", "embeddings": "vec_id", "labels": "doc_id"}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +197,74 @@ _add("find_one_and_delete", f"{O_SQL}SELECT * FROM o WHERE st = 'F' ORDER BY _id
 _add("find_one_and_replace", "SELECT * FROM nation WHERE n_nationkey = 3", _change(_table("nation"), {"n_nationkey": 3}, lambda c: c.images(), first=True, seq="n_nationkey"))
 _add("unique_violations", "SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1", lambda s, d: unique_violations(_read(s, d, "orders"), "o_custkey"))
 _add("index_equality", "SELECT * FROM orders WHERE o_custkey = 77", lambda s, d: Find(clustered(_read(s, d, "orders"), "o_custkey"), ("o_orderkey",), filter={"o_custkey": 77}).frame())
+
+
+def _as_bson(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc", bson_from_json(F.to_json(F.struct(*df.columns))))
+
+
+def _collection(spark: SparkSession) -> Collection:
+    """A new collection in the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquire-")
+    return DocStore(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}").db.coll
+
+
+def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    df = _read(spark, sf, "customer")
+    return _as_bson(df).select(F.from_json(bson_to_json(F.col("doc")), df.schema).alias("d")).select("d.*")
+
+
+def _compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert, delete, compact, read back."""
+    df, coll = _read(spark, sf, "customer"), _collection(spark)
+    coll.insert_frame(_as_bson(df), order=["c_custkey"])
+    coll.delete_many({"c_mktsegment": "BUILDING"})
+    coll.compact()
+    return coll.frame(df.schema).drop("_seq")
+
+
+def _store_update(spark: SparkSession, sf: str) -> DataFrame:
+    df, coll = _read(spark, sf, "part"), _collection(spark)
+    coll.insert_frame(_as_bson(df), order=["p_partkey"])
+    coll.update_many({"p_size": {"$lt": 10}}, {"$inc": {"p_size": 5}})
+    return coll.frame(df.schema).select("p_partkey", "p_size")
+
+
+def _store_find(spark: SparkSession, sf: str) -> DataFrame:
+    df, coll = _read(spark, sf, "customer"), _collection(spark)
+    coll.insert_frame(_as_bson(df), order=["c_custkey"])
+    found = coll.find({"c_acctbal": {"$gte": 9000}}, ["c_custkey", "c_name"]).sort("c_acctbal", -1).limit(30)
+    return spark.createDataFrame([(d["c_custkey"], d["c_name"]) for d in found], "c_custkey long, c_name string")
+
+
+def _unordered(spark: SparkSession, sf: str) -> DataFrame:
+    """A duplicate key in the middle of an unordered insert costs only its own row."""
+    coll = _collection(spark)
+    coll.create_index("n_nationkey", unique=True)
+    rows = [r.asDict() for r in _read(spark, sf, "nation").collect()]  # 25 rows
+    try:
+        coll.insert_many([*rows[:3], rows[0], *rows[3:]], ordered=False)
+    except DuplicateKeyError:
+        pass
+    return coll.frame("n_nationkey int, n_name string, n_regionkey int").drop("_seq")
+
+
+def _indexes(spark: SparkSession, sf: str) -> DataFrame:
+    coll = _collection(spark)
+    coll.create_index("a"), coll.create_index([("b", -1)], unique=True)
+    return spark.createDataFrame([(x["name"], x["unique"]) for x in coll.list_indexes()], "name string, is_unique boolean")
+
+
+_add("bson_roundtrip", "SELECT * FROM customer", _roundtrip)
+_add("bson_validate", "SELECT count(*) AS n FROM orders", lambda s, d: _as_bson(_read(s, d, "orders").select("o_orderkey", "o_totalprice")).filter(bson_is_valid(F.col("doc"))).agg(F.count(F.lit(1)).alias("n")))
+_add(
+    "objectid_time",
+    "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
+    lambda s, d: _read(s, d, "events").select("event_id", F.unix_timestamp(object_id_time(object_id(F.unix_timestamp(F.col("ts").cast("timestamp")), F.col("event_id")))).alias("seconds")),
+)
+_add("objectid_generate", "SELECT event_id, CAST(12 AS INTEGER) AS n_bytes FROM events", lambda s, d: _read(s, d, "events").select("event_id", F.octet_length(object_id(F.lit(0), F.col("event_id"), "events")).alias("n_bytes")))
+_add("compact", "SELECT * FROM customer WHERE NOT (c_mktsegment = 'BUILDING')", _compact)
+_add("store_update", "SELECT p_partkey, CAST(CASE WHEN p_size < 10 THEN p_size + 5 ELSE p_size END AS INTEGER) AS p_size FROM part", _store_update)
+_add("store_find", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 9000 ORDER BY c_acctbal DESC, c_custkey LIMIT 30", _store_find)
+_add("insert_many_unordered", "SELECT n_nationkey, n_name, n_regionkey FROM nation", _unordered)
+_add("list_indexes", "SELECT * FROM (VALUES ('a_1', FALSE), ('b_-1', TRUE)) AS t(name, is_unique)", _indexes)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from docquire import DocStore, DuplicateKeyError, InvalidDocument, InvalidUpdateDocument, ObjectId, OperationFailure, UnsupportedType, encode
+from docquire import DocStore, DuplicateKeyError, InvalidDocument, InvalidUpdateDocument, ObjectId, OperationFailure, UnsupportedType, decode, encode
 from docquire import store as store_module
 
 
@@ -42,6 +42,15 @@ def test_insert_and_find(coll):
         coll.find({"$bad": 1})
 
 
+def test_records(coll):
+    coll.insert_many([{"i": i} for i in range(4)])
+    coll.delete_one({"i": 1})
+    assert decode(coll.record(0))["i"] == 0 and coll.record(1) is None and coll.next_live(0) == 2 and coll.next_live(3) is None
+    with pytest.raises(LookupError):
+        coll.record(99)
+    assert [d["i"] for d in coll.range("i", 0, 3, with_low=False)] == [2, 3] and len(coll.range("i").to_list()) == 3
+
+
 def test_mixed_kinds(coll):
     coll.insert_many([{"v": v} for v in (True, 1, False, 0, 1.0, float("nan"))])
     assert coll.distinct("v")[:4] == [True, 1, False, 0]
