@@ -1,13 +1,13 @@
 """Removal of byte strings that also start somewhere else in the corpus.
 
 Content decides where a text is cut: a cut stands wherever the hash of the next few bytes says so, so equal strings are cut
-alike, and the suffixes at the cuts stand for all suffixes. Repeated intervals of these
-suffixes are refined in three depths, and what has become unique is left out of the next:
+alike. The windows of SIZE bytes that first meet a cut fall into blocks of BLOCK neighbours, counted from the cut; equal
+windows lie in equal places of their blocks. Repeated intervals are refined in three depths, and what has
+become unique is left out of the next:
 
-1. the CORE bytes from a cut on, which every window of SIZE bytes that first meets this cut contains.
-   A count-min sketch rules out most unique ones while scanning; the rest are counted exactly.
-2. the whole extent of the windows that first meet a cut, from the cut before. If that repeats, they all do.
-3. each single window of those cuts whose core repeats and whose extent doesn't: the ends of repeats.
+1. a block's core, the bytes that all its windows share. A count-min sketch rules out most unique ones while scanning.
+2. a block's extent, the bytes that any of its windows has. If that repeats, all its windows do.
+3. the single windows of blocks whose core has several extents: the ends of repeats.
 
 Windows without a cut near their start are compared singly from the beginning. Interval names are
 fingerprints (64 bits for filters, 96 for decisions) instead of ranks in a merged suffix order; the README says why.
@@ -29,8 +29,8 @@ from .substring_dedup import repeated, sketch_of
 
 U = np.uint64
 #: Bytes of a repeat; a cut at one in CUT positions by the hash of KMER bytes; windows farther than REACH before a cut are single.
-SIZE, KMER, CUT, REACH = 400, 16, 48, 256
-CELLS_PER_KEY = 8
+SIZE, KMER, CUT, REACH, BLOCK = 400, 16, 64, 383, 48
+CELLS_PER_KEY = 4
 #: Slots of the bitmap of names; a full one lets all texts through, which only costs time.
 NAMES = 1 << 20
 
@@ -40,14 +40,16 @@ def _data(text: pa.Scalar) -> np.ndarray:
 
 
 class Cuts:
-    """The cuts of one text: ``at``; ``lo`` and ``hi``, the first and last window start that first meet it; ``far``, the other window starts."""
+    """The blocks of one text: ``lo`` and ``hi``, first and last window start; ``core``, where the core begins; ``far``, the other window starts."""
 
     def __init__(self, data: np.ndarray, size: int):
         self.data, self.size, self.n = data, size, len(data)
-        reach = min(REACH, size - KMER)
+        reach, self.block = min(REACH, size - KMER), min(BLOCK, size // 2)
         last = self.n - size
-        if last < 0:
-            self.at = self.lo = self.hi = self.far = np.zeros(0, np.int64)
+        if last < 0 or reach < 0:
+            self.lo = self.hi = self.first = self.core = np.zeros(0, np.int64)
+            self.far = np.arange(max(last + 1, 0))
+            self.prefix = B.BYTE_ROLL.prefix(B.BYTE_ROLL.bytes[data]) if len(self.far) else None
             return
         self.prefix = B.BYTE_ROLL.prefix(B.BYTE_ROLL.bytes[data])
         kmers = (self.prefix[KMER:] - self.prefix[:-KMER]) * B.BYTE_ROLL.up[: self.n - KMER + 1]
@@ -60,12 +62,19 @@ class Cuts:
         count = np.maximum(end - start + 1, 0)
         self.far = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         ok = lo <= hi
-        self.at, self.lo, self.hi, before = at[ok], lo[ok], hi[ok], before[ok]
-        self.first = np.where((before >= 0) & (self.lo == before + 1), before, self.lo)
-        self.core = size - reach
+        at, lo, hi, before = at[ok], lo[ok], hi[ok], before[ok]
+        # block k has the windows that start k * block to k * block + block - 1 bytes before the cut
+        low, high = (at - hi) // self.block, (at - lo) // self.block
+        count = high - low + 1
+        who = np.repeat(np.arange(len(at)), count)
+        k = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else who
+        self.lo, self.hi = np.maximum(lo[who], at[who] - k * self.block - self.block + 1), np.minimum(hi[who], at[who] - k * self.block)
+        self.core = at[who] - k * self.block
+        # an extent that begins right after the cut before takes that cut in, so that an equal extent is cut alike
+        self.first = np.where((before[who] >= 0) & (self.lo == before[who] + 1), before[who], self.lo)
 
     def cores(self) -> np.ndarray:
-        return B.BYTE_ROLL.windows(self.prefix, self.at, self.at + self.core) if self.n >= self.size else np.zeros(0, np.uint64)
+        return B.BYTE_ROLL.windows(self.prefix, self.core, self.core + self.size - self.block + 1) if len(self.core) else np.zeros(0, np.uint64)
 
     def far_names(self) -> np.ndarray:
         return B.BYTE_ROLL.windows(self.prefix, self.far, self.far + self.size) if len(self.far) else np.zeros(0, np.uint64)
@@ -96,7 +105,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows of at least ``size`` bytes remove each other. Ids are only carried. An empty table gives no rows. Only the named columns are read.
     """
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(sketch_of(docs, text_col, _core_keys(size), bytes_per_key=CUT, cells_per_key=CELLS_PER_KEY))
+    sketch = spark.sparkContext.broadcast(sketch_of(docs, text_col, _core_keys(size), bytes_per_key=BLOCK // 2, cells_per_key=CELLS_PER_KEY))
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("name"), text.alias("text"))
 
@@ -133,21 +142,20 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = scanned.join(copies, "name", "left")
     once = marked.filter(F.col("kept").isNull() | (F.col("kept") == F.col("rid")))
     cuts = once.filter(F.col("c").isNotNull()).select("rid", F.explode(F.arrays_zip("lo", "hi", "c", "e", "e2")).alias("x")).select("rid", "x.*")
-    cores = cuts.groupBy("c").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("c")
-    cuts = settle(cuts.join(cores, "c"), "cores")
-    place = F.struct("rid", "lo")
-    extents = settle(cuts.groupBy("e", "e2").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first"), F.any_value("c").alias("c")), "intervals")
-    # a unique extent's windows may repeat inside a repeated extent of the same core: one of each such stands by for comparison
-    mixed = extents.filter("k = 1").select("c").distinct().withColumn("open", F.lit(True))
-    extents = extents.filter("k > 1").join(mixed, "c", "left").select("e", "e2", "first", F.coalesce("open", F.lit(False)).alias("open"))
-    cuts = cuts.join(extents, ["e", "e2"], "left")
-    whole = F.col("first").isNotNull()
-    cuts = cuts.select("rid", F.struct("lo", "hi", whole.alias("whole"), (~whole | (F.col("open") & (F.col("first") == place))).alias("open")).alias("cut"))
-    found = settle(cuts.groupBy("rid").agg(F.collect_list("cut").alias("cuts")), "extents")
+    # the grouping and the look-up share one exchange, for which both read all columns
+    cuts = cuts.repartition("e", "e2")
+    extents = cuts.groupBy("e", "e2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rid", "lo", "hi", "c")).alias("x"))
+    whole = cuts.join(extents.filter("k > 1").select("e", "e2").hint("merge"), ["e", "e2"], "left_semi")
+    whole = whole.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
+    # a core with one extent is unique, or repeats as a whole; of several extents one of each is opened
+    extents = extents.select("x.rid", "x.lo", "x.hi", "x.c").repartition("c")
+    several = extents.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("rid", "lo", "hi"))).filter("k > 1").select("c")
+    opened = extents.join(several.hint("merge"), "c", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
+    found = settle(whole.join(opened, "rid", "full"), "extents")
     far = once.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*")
 
     # the texts of the documents concerned: a bitmap of their names spares the shuffle of all others
-    wanted = settle(once.select("rid", "doc_id", "name", F.col("kept").isNull().alias("alone"), F.col("w").isNotNull().alias("far")).join(found, "rid", "left").filter(F.col("far") | F.col("cuts").isNotNull()), "wanted")
+    wanted = settle(once.select("rid", "doc_id", "name", F.col("kept").isNull().alias("alone"), F.col("w").isNotNull().alias("far")).join(found, "rid", "left").filter(F.col("far") | F.col("whole").isNotNull() | F.col("edges").isNotNull()), "wanted")
     slot = F.pmod(F.xxhash64("name"), F.lit(NAMES))
     bits = np.zeros(NAMES >> 3, np.uint8)
     for (b, v) in wanted.select(F.floor(slot / 8).alias("b"), F.expr(f"shiftleft(1, cast(pmod(xxhash64(name), {NAMES}) % 8 as int))").alias("v")).groupBy("b").agg(F.bit_or("v")).collect():  # at most NAMES / 8 rows
@@ -159,33 +167,35 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bits = named.value
         for batch in batches:
             at = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["name", "text"])
+            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "name", "text"])
 
-    texts = texts.mapInArrow(concerned, "name binary, text binary")
-    joined = wanted.join(texts, "name").select("rid", "alone", "cuts", "text")
+    texts = texts.mapInArrow(concerned, f"doc_id {kind}, name binary, text binary")
+    # by the id too: of many copies of a text only the one that stays is looked at
+    same = (wanted["name"] == texts["name"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])
+    joined = wanted.join(texts, same).select("rid", "alone", "whole", "edges", "text")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, h, h2 = [], [], []
-            for text, cuts in zip(batch.column("text"), batch.column("cuts").to_pylist(), strict=True):
-                edges = [range(c["lo"], c["hi"] + 1) for c in cuts or () if c["open"]]
+            for text, edges in zip(batch.column("text"), batch.column("edges").to_pylist(), strict=True):
                 if edges:
-                    at = np.concatenate([np.arange(r.start, r.stop) for r in edges])
+                    at = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in edges])
                     data = _data(text)
                     w.append(at.astype(np.int32))
                     h.append(B.BYTE_ROLL.windows(B.BYTE_ROLL.prefix(B.BYTE_ROLL.bytes[data]), at, at + size).view(np.int64))
                     h2.append((B.SECOND_ROLL.windows(B.SECOND_ROLL.prefix(B.SECOND_ROLL.bytes[data]), at, at + size) >> U(32)).astype(np.uint32).view(np.int32))
                 else:
                     w.append(None), h.append(None), h2.append(None)
-            columns = [batch.column(c) for c in ("rid", "alone", "text")]
-            whole = pa.array([[{"lo": c["lo"], "hi": c["hi"]} for c in cuts or () if c["whole"]] for cuts in batch.column("cuts").to_pylist()], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*columns, whole, _lists(w, pa.int32()), _lists(h, pa.int64()), _lists(h2, pa.int32())], names=["rid", "alone", "text", "whole", "w", "h", "h2"])
+            # only documents that are decided here need their texts again
+            kept = [t.as_py() if a else None for t, a in zip(batch.column("text"), batch.column("alone").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("alone"), pa.array(kept, pa.binary()), batch.column("whole"), _lists(w, pa.int32()), _lists(h, pa.int64()), _lists(h2, pa.int32())], names=["rid", "alone", "text", "whole", "w", "h", "h2"])
 
     opened = settle(joined.mapInArrow(ends, "rid long, alone boolean, text binary, whole array<struct<lo: int, hi: int>>, w array<int>, h array<long>, h2 array<int>"), "texts")
     single = opened.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*").unionByName(far)
+    single = single.repartition("h", "h2")
     place = F.struct("rid", "w")
     again = single.groupBy("h", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("h", "h2")
-    hits = single.join(again, ["h", "h2"]).groupBy("rid").agg(F.collect_set("w").alias("hits"))
+    hits = single.join(again.hint("merge"), ["h", "h2"], "left_semi").groupBy("rid").agg(F.collect_set("w").alias("hits"))
     last = opened.filter("alone").select("rid", "text", "whole").join(hits, "rid", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
