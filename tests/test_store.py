@@ -91,6 +91,17 @@ def test_updates(coll):
     assert coll.find().to_list() == before
 
 
+def test_a_failing_document_fails_the_whole_statement(coll):
+    coll.insert_many([{"n": 1}, {"n": None}, {"n": "text"}])
+    before = coll.find().to_list()
+    with pytest.raises(InvalidDocument):
+        coll.update_many({}, {"$inc": {"n": 1}})
+    with pytest.raises(UnsupportedType):
+        coll.create_index("n")
+    assert coll.find().to_list() == before and coll.list_indexes() == []
+    assert coll.stats()["live"] == 3 == coll.stats()["records"]
+
+
 def test_indexes(coll):
     coll.insert_many([{"u": 1}, {"u": 2}])
     assert coll.create_index("u", unique=True) == "u_1" and coll.create_index([("u", 1)], unique=True) == "u_1"
