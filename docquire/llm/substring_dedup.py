@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
@@ -197,13 +197,11 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = scanned.groupBy("name").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("name", "least")
     copies = small(settle(copies, "copies"))
     marked = scanned.join(copies, "name", "left").withColumn("copy", F.coalesce(F.col("rank") > F.col("least"), F.lit(False)))
-    # exact grouping of what the sketch lets through, without the copies; the grouping and the look-up share one exchange,
-    # for which both read all columns
+    # exact grouping of what the sketch lets through, without the copies: one exchange. A key has at most one id for each
+    # TOGETHER documents, and a window of rows spills
     rows = marked.filter(~F.col("copy") & F.col("h").isNotNull()).select("rid", "rank", F.explode(F.arrays_zip("h", "c", "at")).alias("x")).select("rid", "rank", "x.h", "x.c", "x.at")
-    rows = rows.repartition("h", "c")
-    owners = rows.groupBy("h", "c").agg(F.min(F.struct("rank", "rid", "at")).alias("first"), F.max("rank").alias("most"))
-    owners = owners.filter(F.col("first.rank") < F.col("most")).select("h", "c", F.col("first.rank").alias("least"))
-    gone = rows.join(owners.hint("merge"), ["h", "c"]).filter(F.col("rank") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("gone"))
+    least = F.min("rank").over(Window.partitionBy("h", "c"))
+    gone = rows.select("rid", "rank", "at", least.alias("least")).filter(F.col("rank") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("gone"))
     gone = settle(gone, "gone")
     todo = marked.select("rid", "doc_id", "n_words", "sha", "copy", "sure", "text").join(gone, "rid", "left")
 
