@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
@@ -142,15 +142,15 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = scanned.join(copies, "name", "left")
     once = marked.filter(F.col("kept").isNull() | (F.col("kept") == F.col("rid")))
     cuts = once.filter(F.col("c").isNotNull()).select("rid", F.explode(F.arrays_zip("lo", "hi", "c", "e", "e2")).alias("x")).select("rid", "x.*")
-    # the grouping and the look-up share one exchange, for which both read all columns
-    cuts = cuts.repartition("e", "e2")
-    extents = cuts.groupBy("e", "e2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rid", "lo", "hi", "c")).alias("x"))
-    whole = cuts.join(extents.filter("k > 1").select("e", "e2").hint("merge"), ["e", "e2"], "left_semi")
-    whole = whole.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
+    # one exchange: how often an extent occurs, and which occurrence is the first; windows of rows spill
+    alike = Window.partitionBy("e", "e2")
+    place = F.struct("rid", "lo")
+    cuts = cuts.select("rid", "lo", "hi", "c", (F.count(F.lit(1)).over(alike) > 1).alias("again"), (F.min(place).over(alike) == place).alias("first"))
+    cuts = settle(cuts, "intervals")
+    whole = cuts.filter("again").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
     # a core with one extent is unique, or repeats as a whole; of several extents one of each is opened
-    extents = extents.select("x.rid", "x.lo", "x.hi", "x.c").repartition("c")
-    several = extents.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("rid", "lo", "hi"))).filter("k > 1").select("c")
-    opened = extents.join(several.hint("merge"), "c", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
+    extents = cuts.filter("first").select("rid", "lo", "hi", F.count(F.lit(1)).over(Window.partitionBy("c")).alias("k"))
+    opened = extents.filter("k > 1").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
     found = settle(whole.join(opened, "rid", "full"), "extents")
     far = once.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*")
 
@@ -192,10 +192,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     opened = settle(joined.mapInArrow(ends, "rid long, alone boolean, text binary, whole array<struct<lo: int, hi: int>>, w array<int>, h array<long>, h2 array<int>"), "texts")
     single = opened.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*").unionByName(far)
-    single = single.repartition("h", "h2")
-    place = F.struct("rid", "w")
-    again = single.groupBy("h", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("h", "h2")
-    hits = single.join(again.hint("merge"), ["h", "h2"], "left_semi").groupBy("rid").agg(F.collect_set("w").alias("hits"))
+    # a window of a text that two rows brought here is one; it repeats if its name stands at another place too
+    alike, place = Window.partitionBy("h", "h2"), F.struct("rid", "w")
+    hits = single.select("rid", "w", (F.min(place).over(alike) != F.max(place).over(alike)).alias("hit")).filter("hit").groupBy("rid").agg(F.collect_set("w").alias("hits"))
     last = opened.filter("alone").select("rid", "text", "whole").join(hits, "rid", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
