@@ -2,7 +2,7 @@
 
 import hashlib
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -142,6 +142,37 @@ def test_large_near_group_hangs_on_its_hub(spark):
     assert {r.class_id for r in near_dup.near_duplicates(df).collect()} == {0} == set(brute.near_classes(rows))
 
 
+def test_chains_in_a_large_bucket(spark):
+    """In one bucket, families with several hubs and chains of copies off them come together as all pairs would have them."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(300)]
+        texts = [base]
+        for _ in range(15):
+            words = list(base)
+            words[rng.randrange(300)] = f"n{len(rows)}x{len(texts)}"
+            texts.append(words)
+        for chain in range(4):
+            words = list(base)
+            for step in range(4):  # each is near the one before only
+                for i in range(30 * step, 30 * step + 25):
+                    words[i] = f"c{family}x{chain}x{i}"
+                texts.append(list(words))
+        rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    nodes = near_dup.signatures(df).select("node", F.col("doc_id").alias("first_id"), F.array(F.lit(1).cast("long")).alias("bands"), "sketch").cache()
+    label = near_dup.components(near_dup.near_links(nodes, df, "doc_id", "text"))
+    got = defaultdict(list)
+    for r in nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).collect():
+        got[bytes(r.label)].append(r.first_id)
+    want = defaultdict(list)
+    for (d, _), c in zip(rows, brute.near_classes(rows), strict=True):
+        want[c].append(d)
+    assert len(want) < 6 and sorted(map(sorted, got.values())) == sorted(want.values())
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_darts_estimate_similarity(similarity):
     rng = np.random.default_rng(4)
