@@ -1,18 +1,21 @@
 """Personal data: patterns, and terms that give protected entities away.
 
-Patterns find the base spans (e-mail, IP, card, phone). Around each span stands a context.
-Over the whole corpus, the co-occurrence of a context's terms with the span's value, the
-protected entity, estimates how much a term reveals: its pointwise mutual information with the entity as a share
-of the entity's information content. A term that reveals more than the threshold, in enough different contexts to be no
-accident, is a span of kind "term" and is generalised with the rest.
+Patterns find the base spans (e-mail, IP, card, phone). Over the whole corpus, the
+co-occurrence of a document's terms with a span's value, the protected entity, estimates how much a
+term reveals: its pointwise mutual information with the entity as a share of the entity's information content. A
+term that reveals more than the threshold, and keeps such company by no accident, is a span of kind
+"term" wherever it stands in a document that holds the entity, and is generalised with the rest.
 
     IC(e) = log(N / n_e)    PMI(t, e) = log(N n_te / (n_t n_e))    disclosure = PMI / IC
 
-n counts documents. Support counts different contexts, so that copies of one text don't add up.
+n counts documents. No accident means that chance would hardly bring the term together with this entity
+as often, or with protected entities as a whole. Both count different contexts of spans, so that copies of one text don't add up.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 CONTEXT = 80
-TERM = r"\p{L}{3,}"
+#: A word with the digits in it.
+TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}"
 
 
 def luhn(digits: Column) -> Column:
@@ -63,7 +67,7 @@ def _pieces(text: Column, pattern: str, needed: str | None) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Settled tables: one row per document (``rid, doc_id, key``), and one per valid base span (``rid, kind, start, end, value, before, after``)."""
+    """Settled tables: one row per document (``rid, doc_id, key``, and ``text`` if it may have spans), and one per valid base span (``rid, kind, start, end, value, before, after``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     rows = rows.select("*", *[_pieces(F.col("text"), p, NEEDED[k]).alias(k) for k, p in PATTERNS.items()])
@@ -78,7 +82,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ),
         )
         parts.append(F.struct(F.lit(number).alias("kind"), zipped.alias("all")))
-    table_ = settle(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "key", F.filter(F.array(*parts), lambda p: F.size(p["all"]) > 0).alias("found")), "pii")
+    table_ = settle(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "key", "text", F.filter(F.array(*parts), lambda p: F.size(p["all"]) > 0).alias("found")).withColumn("text", F.when(F.size("found") > 0, F.col("text"))), "pii")
     spans = table_.filter(F.size("found") > 0).select("rid", "key", F.explode("found").alias("f")).select("rid", "key", "f.kind", F.explode("f.all").alias("x")).select("rid", "key", "kind", "x.*")
     # where a match starts: all gaps up to it and all matches before it
     along = Window.partitionBy("rid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,42 +92,51 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return table_.drop("found"), settle(spans.select("rid", "key", "kind", "start", "end", "value", "before", "after"), "spans")
 
 
-def _context_terms(spans: DataFrame) -> DataFrame:
-    """The terms around the spans, with their places: ``rid, entity, term, start, end``. Words cut by the context's edge are left out."""
-    # a letter where the context was cut off may continue a word
-    sides = F.array(
-        F.struct(F.regexp_replace("before", r"^\p{L}+", "").alias("text"), (F.col("start") - F.length(F.regexp_replace("before", r"^\p{L}+", ""))).alias("at")),
-        F.struct(F.regexp_replace("after", r"\p{L}+$", "").alias("text"), F.col("end").alias("at")),
+def _outside(base: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rid, rest`` of the documents with spans: their texts with blanks in place of the spans, so that places stay."""
+    at = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
+    text = F.col("text")
+    cut = lambda start, n: F.substring(text, (start + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int"))
+    step = lambda a, s: F.struct(
+        F.greatest(a["at"], s["end"]).alias("at"),
+        F.concat(a["out"], cut(a["at"], s["start"] - a["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)).cast("int"))).alias("out"),
     )
-    rows = spans.select("rid", "entity", F.posexplode(sides).alias("side", "s")).select("rid", "entity", "side", "s.at", "s.text")
-    found = F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1))
-    zipped = F.arrays_zip(found.alias("word"), F.slice(F.split("text", TERM), F.lit(1), F.size(found)).alias("gap"))
-    rows = rows.select("rid", "entity", "at", "side", F.posexplode(zipped).alias("nth", "x"))
-    along = Window.partitionBy("rid", "entity", "at", "side").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.col("at") + F.sum(F.length("x.gap") + F.length("x.word")).over(along))
-    return rows.select("rid", "entity", F.lower("x.word").alias("term"), (F.col("end") - F.length("x.word")).alias("start"), "end")
-
-
-def disclosing_terms(docs: DataFrame, base: DataFrame, spans: DataFrame, text_col: str, threshold: float, min_support: int) -> DataFrame | None:
-    """Pairs (entity, term) of which the term reveals the entity; None where no entity has enough contexts."""
-    context = F.xxhash64("before", "after")
-    known = spans.select("*", F.xxhash64("kind", F.lower("value")).alias("entity"), context.alias("context"))
-    counts = known.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= min_support).select("entity")
-    known = settle(known.join(small(settle(counts, "entities")), "entity", "left_semi"), "known")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return base.join(at, "rid").select("rid", F.aggregate("at", start, step, lambda a: F.concat(a["out"], cut(a["at"], F.length(text)))).alias("rest"))
+
+
+def _places(rest: DataFrame) -> DataFrame:
+    """Every term of the texts with its places: ``rid, term, start, end``."""
+    found = F.regexp_extract_all("rest", F.lit(f"({TERM})"), F.lit(1))
+    zipped = F.arrays_zip(found.alias("word"), F.slice(F.split("rest", TERM), F.lit(1), F.size(found)).alias("gap"))
+    rows = rest.select("rid", F.posexplode(zipped).alias("nth", "x"))
+    along = Window.partitionBy("rid").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.length("x.gap") + F.length("x.word")).over(along))
+    return rows.select("rid", F.lower("x.word").alias("term"), (F.col("end") - F.length("x.word")).alias("start"), "end")
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, spans: DataFrame, text_col: str, threshold: float, level: float) -> DataFrame | None:
+    """Places of the terms that reveal an entity, in all documents that hold it; None where there are none."""
+    context = spans.select("rid", F.xxhash64("kind", F.lower("value")).alias("entity"), F.xxhash64("before", "after").alias("context"))
+    known = settle(context.groupBy("entity", "rid").agg(F.min("context").alias("unit")), "known")
     if known.isEmpty():
         return None
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.concat_ws(" ", F.regexp_replace("before", r"^\p{L}+", ""), F.regexp_replace("after", r"\p{L}+$", "")), F.lit(f"({TERM})"), F.lit(1)), F.lower))
-    near = settle(known.select("entity", "context", "rid", F.explode(terms).alias("term")), "near")
-    support = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= min_support)
-    joint = near.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).join(support.select("entity", "term"), ["entity", "term"])
-    joint = joint.join(known.select("entity", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entity")
+    rest = settle(_outside(base, spans), "outside")
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(f"({TERM})"), F.lit(1)), F.lower))
+    words = settle(rest.select("rid", F.explode(terms).alias("term")), "words")
+    held = known.groupBy("rid").agg(F.min("unit").alias("unit"))
     # a term's documents among those with spans are at least so many of all; what is too common by them already can't disclose
-    near_any = spans.select("rid", F.explode(terms).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
-    n = F.lit(float(base.count()))
-    content = F.log(n / F.col("n_e"))
-    pmi = lambda n_t: F.log(n * F.col("n_te") / (F.col(n_t) * F.col("n_e")))
-    joint = joint.filter(content > 0).join(near_any, "term").filter(pmi("n_least") >= threshold * content)
-    joint = settle(joint, "joint")
+    pooled = words.join(held, "rid").groupBy("term", "unit").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.sum("c").alias("n_least"), F.count(F.lit(1)).alias("s_t"))
+    pooled = settle(pooled, "pooled")
+    n, holding = float(base.count()), rest.count()
+    entities = known.groupBy("entity", "unit").agg(F.count(F.lit(1)).alias("c")).groupBy("entity").agg(F.sum("c").alias("n_e"), F.count(F.lit(1)).alias("s_e"))
+    content = F.log(F.lit(n) / F.col("n_e"))
+    pmi = lambda n_t: F.log(F.lit(n) * F.col("n_te") / (F.col(n_t) * F.col("n_e")))
+    sized = settle(known.join(entities, "entity").filter(content > 0), "entities")
+    near = sized.join(words, "rid").join(pooled, "term").filter(F.log(F.lit(n) / F.col("n_least")) >= threshold * content)
+    near = near.groupBy("entity", "term", "unit", "n_e", "s_e", "n_least", "s_t").agg(F.count(F.lit(1)).alias("c"))
+    joint = near.groupBy("entity", "term", "n_e", "s_e", "n_least", "s_t").agg(F.sum("c").alias("n_te"), F.count(F.lit(1)).alias("s_te"))
+    joint = settle(joint.filter(pmi("n_least") >= threshold * content), "joint")
     if joint.isEmpty():
         return None
     # how many documents of the corpus have each of those terms
@@ -132,16 +145,25 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, spans: DataFrame, text_co
     for block in blocks(wanted, "term"):
         part = have.join(block, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
         frequency = part if frequency is None else frequency.unionByName(part)
-    rated = joint.join(frequency, "term").filter(pmi("n_t") >= threshold * content).select("entity", "term")
-    found = _context_terms(known.select("rid", "entity", "start", "end", "before", "after"))
-    return found.join(small(settle(rated, "disclosing")), ["entity", "term"]).select("rid", "start", "end").distinct()
+    # Chernoff bounds on the chance of so much company by accident, over all pairs and all terms that are tried
+    expected = F.col("n_t") * F.col("s_e") / F.lit(n)
+    of_pair = F.when(F.col("s_te") > expected, F.col("s_te") * (1 + F.log(expected / F.col("s_te"))) - expected).otherwise(0.0)
+    tries, share = F.col("s_t") + F.greatest(F.col("n_t") - F.col("n_least"), F.lit(0)), holding / n
+    part = F.col("s_t") / tries
+    apart = F.when(part < 1, (1 - part) * F.log((1 - part) / F.lit(max(1 - share, 1e-300)))).otherwise(0.0)
+    of_term = F.when(part > share, -tries * (part * F.log(part / F.lit(share)) + apart)).otherwise(0.0)
+    sure = (of_pair <= math.log(level / joint.count())) | (of_term <= math.log(level / wanted.count()))
+    rated = joint.join(frequency, "term").filter((pmi("n_t") >= threshold * content) & sure).select("entity", "term")
+    marked = settle(known.select("entity", "rid").join(settle(rated, "disclosing"), "entity").select("rid", "term").distinct(), "marked")
+    places = _places(rest.join(marked.select("rid").distinct(), "rid", "left_semi"))
+    return places.join(marked, ["rid", "term"]).select("rid", "start", "end")
 
 
 def _is_kind(i: int):
     return lambda s: s["kind"] == i
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, min_support: int = 3) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, level: float = 0.05) -> DataFrame:
     """The personal data of each document.
 
     Returns one row per input row: ``doc_id, key`` (hash of the text), ``n_email, n_ip, n_card, n_phone, base_sha256, spans`` and ``found``, the
@@ -152,7 +174,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     span = F.struct("start", "kind", "end")
     found = spans.groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("base"))
     rows = base.join(found, "rid", "left")
-    terms = disclosing_terms(docs, base, spans, text_col, threshold, min_support)
+    terms = disclosing_terms(docs, base, spans, text_col, threshold, level)
     if terms is None:
         rows = rows.withColumn("terms", F.lit(None).cast(rows.schema["base"].dataType))
     else:

@@ -259,6 +259,17 @@ def test_disclosing_terms(spark):
     assert out[0] == rows[0][1].replace("Zorblax", "<TERM>").replace("bob@corp.example.com", "<EMAIL>") and out[100] == rows[7][1]
 
 
+def test_disclosing_terms_far_from_spans(spark):
+    """Terms are found and marked in whole documents, and for entities of one document by the company their terms keep."""
+    far = " ".join(["the contact secret and more of text"] * 20)
+    rows = [(i, f"Zorblax {far} zorblax word{i} {far} {'xyzuvwt'[i]}rr bob@corp.example.com") for i in range(7)]
+    rows += [(20 + i, f"Quirrel {far} {'bcdfg'[i]}ss u{i}x@other.example.com") for i in range(5)] + [(100 + i, far) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.personal_data(df).collect():
+        terms = [dict(rows)[r.doc_id][s.start : s.end] for s in r.found if s.kind == 4]
+        assert terms == (["Zorblax", "zorblax"] if r.doc_id < 7 else ["Quirrel"] if r.doc_id < 100 else [])
+
+
 def test_tokens(awkward, empty):
     pytest.importorskip("public_tokenizers")
     import public_tokenizers
