@@ -34,12 +34,15 @@ SEPARATORS = ".-_*~'`^,;:/\\+|#=&%"
 SWAP, DROP = -1.0, -0.7
 #: Dropping a repeated letter: a double one may be spelled so, a longer run hardly.
 DOUBLE, LONGER = -3.0, -0.3
-#: Longer tokens are addresses or noise, not one disguised word.
+#: Longer tokens are decoded in pieces of so many characters, each half over the one before.
 LONGEST = 40
+ADDRESS = re.compile(r"[\w.%+-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[a-z]{2,}|[a-z][a-z0-9+.-]*://.*|www\..*")
+NUMBER = re.compile(r"[$€£+(#~-]*\d[\d.,:/%+()*=xh€$£-]*[!?.]*")
+LONG_RUN = re.compile(r"(.)\1{3,}")
 EDGES = ".,;:!?\"'()[]{}<>*#%&|-–—…«»„“”‚‘’`~^=_/\\"
 TRIPLE = re.compile(r"(.)\1\1")
-#: Four or more single characters in a row, one space apart.
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+#: Two or more tokens of one or two characters in a row.
+SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)")
 PREFIXES = (4, 5, 6)
 #: The classifier is fitted on at most so many labelled rows, those with the smallest id hash.
 FIT_ROWS = 20_000
@@ -91,6 +94,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.runs: dict[str, frozenset[str]] = {}
 
     def decode(self, token: str, spaced: bool = False) -> str:
         """The likeliest clean reading; ``spaced`` tokens may hold several words."""
@@ -134,15 +138,28 @@ class Restorer:
         bare = token.strip(EDGES)
         if bare.isalpha():
             if TRIPLE.search(bare):
-                return [bare, self.decode(bare)] if len(bare) <= LONGEST else [bare]
+                return list(dict.fromkeys([bare, *self.read(bare)]))
             if bare == token or not any(c in LOOKALIKES for c in token[len(bare) :]):
                 return [bare]
         # look-alikes may stand at the edges, as "!" for "i" does
         whole = token.strip(".,;:?\"'()[]{}<>#%&-–—…«»„“”‚‘’`~^=_/\\") or token
-        letters = sum(map(str.isalpha, whole))
-        if len(whole) > LONGEST or letters < 2 or ("@" in whole and "." in whole) or "//" in whole:
+        signs = [c for c in whole if c.isalpha() or c in LOOKALIKES]
+        if len(signs) < 2 or len(set(signs)) < 2 or ADDRESS.fullmatch(bare) or ADDRESS.fullmatch(whole) or NUMBER.fullmatch(whole):
             return [bare] if bare else []
-        return list(dict.fromkeys(x for x in (bare, self.decode(bare) if bare else "", self.decode(whole)) if x))
+        return list(dict.fromkeys(x for x in (bare, *(self.read(bare) if bare else ()), *self.read(whole)) if x))
+
+    def read(self, token: str) -> list[str]:
+        """The likeliest readings of a token: one, or the words of a long one."""
+        token = LONG_RUN.sub(r"\1\1\1", token)
+        if len(token) <= LONGEST:
+            return [self.decode(token)]
+        return self.read_spaced(token)
+
+    def read_spaced(self, run: str) -> list[str]:
+        """The words of a run of characters."""
+        half = LONGEST // 2
+        starts = range(0, max(1, len(run) - half), half)
+        return [word for i in starts for word in self.decode(run[i : i + LONGEST], spaced=True).split()]
 
     def features(self, token: str) -> set[str]:
         out = set()
@@ -151,13 +168,18 @@ class Restorer:
         return out
 
     def spaced(self, lower: str) -> set[str]:
-        """Features of runs of single characters."""
+        """Features of runs of short tokens, whose spaces may be part of the disguise."""
         out = set()
-        for m in SPACED.findall(lower):
-            run = m.replace(" ", "").replace("\t", "")
-            for i in range(0, len(run), 30):
-                for word in self.decode(run[max(0, i - 10) : i + 30], spaced=True).split():
-                    out |= word_features(word)
+        for m in set(SPACED.findall(lower)):
+            run = "".join(m.split())
+            if len(run) < 3:
+                continue
+            found = self.runs.get(run)
+            if found is None:
+                if len(self.runs) > 100_000:
+                    self.runs.clear()
+                found = self.runs[run] = frozenset(f for word in self.read_spaced(run) for f in word_features(word))
+            out |= found
         return out
 
 

@@ -321,6 +321,22 @@ def test_restoring():
     assert "=moron" in r.spaced("you m o r o n there")
 
 
+def test_restoring_long_and_sparse_disguises():
+    rng = np.random.default_rng(1)
+    words = ["idiot", "loser", "moron", "stupid", "shit", "bastard", "ass", "letter", "good", "people", "about"]
+    text = " ".join(rng.choice(words, 20000))
+    classes = toxicity._class_table()
+    s = classes[np.frombuffer(f"  {text} ".encode("utf-32-le"), "<u4")]
+    counts = np.bincount((s[:-2] * 64 + s[1:-1]) * 64 + s[2:], minlength=64**3).reshape(64, 64, 64).astype(float)
+    r = toxicity.Restorer(np.log((counts + 1e-3) / (counts.sum(2, keepdims=True) + 0.064)).ravel())
+    for bad, good in {"st" + "u" * 60 + "pid": "stupid", "good.people.about.stupid.letter.idiot.good.people": "stupid", "$h!7": "shit", "@$$": "ass", "b.@.s.t.@.r.d": "bastard"}.items():
+        assert good in r.forms(bad), (bad, r.forms(bad))
+    for bad, good in {"you a s s there": "ass", "you m  o  r  o  n there": "moron", "m\no\nr\no\nn": "moron", "you st up id there": "stupid"}.items():
+        assert f"={good}" in r.spaced(bad), (bad, r.spaced(bad))
+    for same in ("me@good.people.org", "$45.50", "http://good.org/a_b", "10,000"):
+        assert len(r.forms(same)) == 1
+
+
 def test_toxicity(awkward, empty, spark):
     import random
 
