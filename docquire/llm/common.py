@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import math
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,10 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Largest table, in bytes, that an operator broadcasts; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+#: Rows and bytes of an Arrow batch while a table is settled: about what a Python worker holds of it at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,52 +34,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, is a folder of this process used.
+    Only where that is unset and the master is local, as in tests, is a folder of this machine used.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
-        at = spark.sparkContext.getCheckpointDir()
-        if at is not None:
-            return at
-        found = tempfile.mkdtemp(prefix="docquire-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docquire-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession):
+    """Arrow batches of BATCHES for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lineage ends there, so that a lost executor costs no recomputation of what came
-    before, and the size of the table is known to the planner afterwards.
+    before, and the size of the table is known to the planner afterwards. ``free`` deletes the
+    table; what isn't freed goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docquire-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session is gone; the files are only leftovers
-            return
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    at, fs = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, and let go of the shuffle files of jobs that are done."""
+    spark = None
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path is not None:
+            spark = t.sparkSession
+            at, fs = _file_system(spark, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def settled_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a settled table."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        at = jvm.org.apache.hadoop.fs.Path(f)
-        total += at.getFileSystem(conf).getFileStatus(at).getLen()
-    return total
+    at, fs = _file_system(df.sparkSession, _paths[df])
+    return fs.getContentSummary(at).getLength()
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES, times: int = 4) -> DataFrame:

@@ -29,9 +29,14 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({TOKEN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def lowered(text: Column) -> Column:
+    """All letters lowered, each alike wherever it stands: a sigma is lowered by its neighbours, so its final form becomes the other."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def lowered_tokens(text: Column) -> Column:
-    """The words of the text with all letters lowered: as many as ``tokens``, cheaper, equal where those are."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({LOWERED})"), F.lit(1)), F.array().cast("array<string>"))
+    """The words of the lowered text: as many as ``tokens``, cheaper, equal where those are."""
+    return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(f"({LOWERED})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def item_windows(bench: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -80,7 +85,7 @@ def decontaminate(
     counted = docs.select(
         F.col(id_col).alias("doc_id"), text_key(text).alias("key"), F.coalesce(F.regexp_count(F.lower(text), F.lit(LOWERED)), F.lit(0)).cast("long").alias("n_words")
     )
-    wins = item_windows(bench, item_col, item_text_col, window).withColumn("low", F.transform("win", F.lower))
+    wins = item_windows(bench, item_col, item_text_col, window).withColumn("low", F.transform("win", lowered))
     wins = settle(wins.withColumn("plain", ~F.exists("win", lambda w: w.rlike(r"[^\x00-\x7F]"))).withColumn("wid", F.monotonically_increasing_id()), "windows")
     sizes = [r[0] for r in wins.select(F.least(F.col("len"), F.lit(SHINGLE)).alias("s")).distinct().collect()]  # at most SHINGLE rows
     found = None

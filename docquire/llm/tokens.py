@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import zlib
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,74 +42,114 @@ SHARD_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
 #: Documents whose ids the dictionary is trained on: those with the smallest id hash.
 DICT_SAMPLE = 256
+#: Characters of each of them; the dictionary changes no result.
+DICT_CHARS = 1 << 16
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``which`` of a list of lists, given flat with the end of each, one after the other; and how long each is."""
+    starts = np.concatenate([[0], ends[:-1]])[which]
+    counts = ends[which] - starts
+    before = np.cumsum(counts) - counts
+    return flat[np.repeat(starts - before, counts) + np.arange(counts.sum())], counts
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file, one distinct word at a time.
+    """Encodes texts with a tokenizers file, each distinct word of a batch once.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are
+    A tokenizer that marks the ends of words drops white space and never joins characters across it, so a text's ids are
     its words' ids in order. Words of plain letters, digits and punctuation consist of
-    pieces that the tokenizer would split alike; pieces are encoded once, many in a call. All
-    other words, and texts with control characters that only Python takes as white space, go to the library whole.
-    The caches are emptied when full, which costs time but changes nothing.
+    pieces that the tokenizer would split alike; distinct pieces are encoded many in a call, and remembered. All
+    other words go to the library whole, and so do whole texts if the tokenizer marks no ends.
+    The memory of pieces is emptied when full, which costs time but changes nothing.
     """
 
-    ODD = re.compile("[\x1c-\x1f]")
-    PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
-    PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
-    #: About 200 bytes each: some 250 MB in a worker when both caches are full.
-    MOST_WORDS, MOST_PIECES = 400_000, 600_000
+    PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+$"
+    #: Pieces of lowered plain words, and the line feeds between words.
+    PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+|\n")
+    #: About 200 bytes each: some 60 MB in a worker when all are held.
+    MOST_PIECES = 300_000
+    #: Ids that are put together at a time.
+    TOGETHER = 1 << 20
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in texts]
-
-    def _learn_pieces(self, new: list[str]) -> None:
+        vocabulary, mark = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.marked = bool(mark)
+        self.kind = np.dtype("<u2" if max(len(vocabulary), end_id + 1) <= 1 << 16 else "<u4")
+        self.end = np.array([end_id], self.kind)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if mark:
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, flat, and how many each has."""
+        found = [x.ids for i in range(0, len(texts), 256) for x in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        counts = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x), self.kind, counts.sum()), counts
+
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(got.ids, self.kind), np.array(got.word_ids)
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            if len(starts) == len(part):
-                raw, at = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-                self.pieces.update(zip(part, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-            else:  # the tokenizer splits otherwise: ask it piece by piece
-                self.pieces.update(zip(part, self._whole(part), strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) > self.MOST_WORDS:
-            self.words.clear()
-        if len(self.pieces) > self.MOST_PIECES:
-            self.pieces.clear()
-        plain = [w for w in new if self.PLAIN.fullmatch(w)]
-        parts = [self.PIECE.findall(w.lower()) for w in plain]
-        self._learn_pieces(list({p for ps in parts for p in ps if p not in self.pieces}))
-        piece = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(piece, ps))) for w, ps in zip(plain, parts, strict=True))
-        other = [w for w in new if w not in self.words]
-        self.words.update(zip(other, self._whole(other), strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text and the end id, as bytes."""
-        for i in range(0, len(texts), 64):
-            split = [None if t and self.ODD.search(t) else (t or "").split() for t in texts[i : i + 64]]
-            new = {w for ws in split if ws for w in ws if w not in self.words}
-            if new:
-                self._learn(new)
-                # learning may have emptied the cache of other words of these texts
-                if missing := {w for ws in split if ws for w in ws if w not in self.words}:
-                    self._learn(missing)
-            word = self.words.__getitem__
-            for text, ws in zip(texts[i : i + 64], split, strict=True):
-                yield (self._whole([text])[0] if ws is None else b"".join(map(word, ws))) + self.end
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):  # the tokenizer splits otherwise: ask it piece by piece
+                ids, counts = self._whole(part)
+                ends = np.cumsum(counts)
+            self.slots.update(zip(part, range(len(self.slots), len(self.slots) + len(part)), strict=True))
+            self.ends = np.concatenate([self.ends, len(self.flat) + ends])
+            self.flat = np.concatenate([self.flat, ids])
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, flat, and how many each has."""
+        pieces = pa.array(self.PIECE.findall("\n".join(words).lower())).dictionary_encode()
+        names, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        between = codes == (names.index("\n") if len(words) > 1 else -1)
+        if len(self.slots) > self.MOST_PIECES:
+            self._forget()
+        self._learn([x for x in names if x != "\n" and x not in self.slots])
+        slots = np.array([self.slots.get(x, 0) for x in names], np.int64)
+        ids, counts = _gather(self.flat, self.ends, slots[codes[~between]])
+        return ids, np.bincount(np.cumsum(between)[~between], counts, len(words)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text and the end id, as bytes; null is an empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.marked:
+            for text in texts:
+                yield self._whole([text.as_py()])[0].tobytes() + self.end.tobytes()
+            return
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        plain = pc.match_substring_regex(words.dictionary, self.PLAIN)
+        parts, place = [(self.end, np.ones(1, np.int64))], np.zeros(len(words.dictionary), np.int64)
+        for mask, encode in ((plain, self._plain), (pc.invert(plain), self._whole)):
+            if some := words.dictionary.filter(mask).to_pylist():
+                place[np.flatnonzero(mask)] = sum(len(c) for _, c in parts) + np.arange(len(some))
+                parts.append(encode(some))
+        flat, ends = np.concatenate([x for x, _ in parts]), np.cumsum(np.concatenate([c for _, c in parts]))
+        # the words of all texts, each text followed by the end id
+        after = np.cumsum(pc.list_value_length(split).to_numpy())
+        line = np.insert(place[words.indices.to_numpy()], after, 0)
+        size = np.diff(ends, prepend=0)
+        last = after + np.arange(1, len(after) + 1)  # where each text ends in ``line``
+        upto = np.cumsum(size[line])[last - 1]
+        begin = 0
+        while begin < len(texts):
+            done = upto[begin - 1] if begin else 0
+            stop = max(int(np.searchsorted(upto, done + self.TOGETHER, "right")), begin + 1)
+            ids, _ = _gather(flat, ends, line[last[begin - 1] if begin else 0 : last[stop - 1]])
+            at = np.concatenate([[0], upto[begin:stop] - done]).tolist()
+            yield from (ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False))
+            begin = stop
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -169,15 +211,23 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.head['width']}")
 
 
+def _sample(rows: DataFrame) -> list[str]:
+    """The beginnings of the texts that the dictionary is trained on; ids are chosen first, so that no other text moves."""
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_SAMPLE)
+    known = [r[0] for r in chosen.collect() if r[0] is not None]  # at most DICT_SAMPLE numbers
+    texts = rows.filter(F.col("doc_id").isin(known)).select("doc_id", "key", F.left("text", F.lit(DICT_CHARS)).alias("text"))
+    return [r[0] for r in texts.orderBy("doc_id", "key").limit(DICT_SAMPLE).select("text").collect()]  # at most DICT_SAMPLE times DICT_CHARS
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bytes]:
     """Encode and pack all rows; the table of shards (settled) and the dictionary.
 
     Rows stand in ascending order of id, null first, equal ids by text hash.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "key").limit(DICT_SAMPLE).select("text").collect()  # bounded by DICT_SAMPLE
     coder = encoder(tokenizer, end_id)
-    samples = [raw[i : i + 8192] for raw in coder.encode([r[0] for r in sample]) for i in range(0, len(raw), 8192)]
+    sample = _sample(rows)
+    samples = [raw[i : i + 8192] for raw in coder.encode(pa.array(sample, pa.string())) for i in range(0, len(raw), 8192)] if sample else []
     dictionary = train_dictionary(samples) if samples else b""
     width = coder.kind.itemsize
 
@@ -196,15 +246,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
 
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            for i in range(0, len(ids), 64):  # few texts at a time as Python strings
-                texts = batch.column("text").slice(i, 64).to_pylist()
-                for doc, key, raw in zip(ids[i : i + 64], keys[i : i + 64], coder.encode(texts), strict=True):
-                    first = first or (doc, key)
-                    held.append((doc, raw))
-                    size += len(raw)
-                    if size >= SHARD_BYTES:
-                        yield shard()
-                        held, first, size, k = [], None, 0, k + 1
+            for doc, key, raw in zip(ids, keys, coder.encode(batch.column("text")), strict=True):
+                first = first or (doc, key)
+                held.append((doc, raw))
+                size += len(raw)
+                if size >= SHARD_BYTES:
+                    yield shard()
+                    held, first, size, k = [], None, 0, k + 1
         if held:
             yield shard()
 
