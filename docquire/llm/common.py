@@ -7,8 +7,12 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +121,17 @@ def blocks(df: DataFrame, key: str) -> list[DataFrame]:
     return [F.broadcast(df if n == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
 
 
+def portions(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``limit`` bytes in a column, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = sizes[begin - 1] if begin else 0
+        stop = max(int(np.searchsorted(sizes, done + limit, "right")), begin + 1)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))

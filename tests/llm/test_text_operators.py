@@ -123,7 +123,7 @@ def test_near_duplicates(awkward, empty, documents, spark):
     assert len({bytes(r.label) for r in got if r.label is not None}) + sum(r.label is None for r in got) == kept.count()
     assert near_dup.near_duplicates(empty).count() == 0 == near_dup.one_of_each(empty).count()
     docs = [tuple(r) for r in spark.read.parquet(f"{documents}/documents.parquet").select("doc_id", "text").collect()]
-    got = dict(tuple(r) for r in near_dup.op5_near_duplicates(spark, documents).collect())
+    got = {r.doc_id: r.class_id for r in near_dup.op5_near_duplicates(spark, documents).collect()}
     assert [got[d] for d, _ in docs] == brute.near_classes(docs)
 
 
@@ -164,7 +164,7 @@ def test_chains_in_a_large_bucket(spark):
         rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").cache()
     nodes = near_dup.signatures(df).select("node", F.col("doc_id").alias("first_id"), F.array(F.lit(1).cast("long")).alias("bands"), "sketch").cache()
-    label = near_dup.components(near_dup.near_links(nodes, df, "doc_id", "text"))
+    label = near_dup.near_labels(nodes, df, "doc_id", "text")
     got = defaultdict(list)
     for r in nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).collect():
         got[bytes(r.label)].append(r.first_id)
@@ -174,6 +174,30 @@ def test_chains_in_a_large_bucket(spark):
     assert len(want) < 6 and sorted(map(sorted, got.values())) == sorted(want.values())
 
 
+def test_a_large_bucket_without_links(spark, monkeypatch):
+    """Texts that share much, but not enough: few pairs are verified. Finer buckets find the links that there are."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for i in range(300):
+        own = [f"n{i}x{j}" for j in range(34)]
+        rows.append((i, " ".join([f"s{j}" for j in range(70)] + own)))
+        if i % 30 == 0:
+            own[rng.randrange(34)] = "changed"
+            rows.append((1000 + i, " ".join([f"s{j}" for j in range(70)] + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    tried, verified = [], near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *a, **b: (tried.append(pairs.count()), verified(pairs, *a, **b))[1])
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    got = dict(near_dup.near_duplicates(df).select("doc_id", "class_id").collect())
+    assert [got[d] for d, _ in rows] == brute.near_classes(rows)
+    one = F.transform("bands", lambda b, i: F.when(i == 0, F.lit(1).cast("long")).otherwise(b))
+    nodes = near_dup.signatures(df).select("node", F.col("doc_id").alias("first_id"), one.alias("bands"), "sketch").cache()
+    label = near_dup.near_labels(nodes, df, "doc_id", "text")
+    assert label.count() == 10 == label.select("label").distinct().count()  # a component's least node is its label and not listed
+    assert sum(tried) < 4 * 2 * len(rows)
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_darts_estimate_similarity(similarity):
     rng = np.random.default_rng(4)
