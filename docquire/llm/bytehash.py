@@ -10,8 +10,6 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-SPACE_BYTES = np.zeros(256, bool)
-SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -52,21 +50,9 @@ class Roll:
         return splitmix((prefix[end] - prefix[start]) * self.up[start] + (end - start).astype(np.uint64))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes; words are runs of non-space bytes."""
-    solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = ~SPACE_BYTES[data]
-    edge = np.diff(solid)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 BYTE_ROLL, WORD_ROLL, SECOND_ROLL = Roll(11), Roll(23), Roll(37)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return BYTE_ROLL.windows(BYTE_ROLL.prefix(BYTE_ROLL.bytes[data]), starts, ends)
-
-
 def word_windows(hashes: np.ndarray, size: int, roll: Roll = WORD_ROLL) -> np.ndarray:
     """Hash of each run of ``size`` consecutive words."""
     n = len(hashes) - size + 1

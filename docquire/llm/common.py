@@ -132,6 +132,12 @@ def portions(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
         begin = stop
 
 
+def by_text(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """A list for each of ``n`` texts, null for an empty one; ``values`` stand in the order of ``owner``, the texts they belong to."""
+    upto = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(values), mask=pa.array(np.diff(upto) == 0))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))

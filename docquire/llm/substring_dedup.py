@@ -3,13 +3,14 @@
 First pass: every partition counts its windows in a count-min sketch; the sketches are merged. An estimate is never below
 the true count, so a window estimated once is unique in the corpus. Second pass: only windows
 estimated repeated are grouped exactly. None is lost, and what the sketch lets through
-wrongly only costs time; a sketch too small for its corpus lets more through.
+wrongly only costs time.
 
 A window is counted by its minimizer, the least hash among its runs of ANCHOR words. Equal windows have equal
 minimizers, and neighbouring windows mostly share one, so the sketch holds about a third as many keys.
-Counters stop at two: a bit for "once" and a bit for "twice" per cell.
 
-Documents whose whole text a smaller id has are settled by their text's hash before windows are compared.
+Words are named by 128 bits of BLAKE2b, once for each different word of a batch; a window's name is made of two
+independent sums, each over one half of its words' names. Documents whose whole text a smaller id has are settled by their
+text's hash before windows are compared.
 """
 
 from __future__ import annotations
@@ -19,220 +20,161 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
-from .common import settle, small, table
+from .common import by_text, free, settle, small, table
+from .sketch import MOST_CELLS, SHARD_CELLS, Test, named, scan_repeated
 
 U = np.uint64
 WINDOW, ANCHOR = 13, 8
-#: Rows of the sketch, cells for each expected key, and the most cells of a row: at most 32 MB reach an executor's worker.
-DEPTH, CELLS_PER_KEY, MOST_CELLS = 2, 3, 1 << 27
-BLOCK = 1 << 20
-#: Documents whose windows are compared before anything is sent on; a window that many documents share is sent once for each.
-TOGETHER = 2048
+#: Of the sketch.
+BYTES_PER_KEY, CELLS_PER_KEY = 20, 3
 LAST = (1 << 63) - 1
 
 
-def _data(text: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, flat, and where each text's begin; and the end of the last one's."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    flat, upto = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+    solid = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(solid), np.concatenate([[0], np.cumsum(solid.to_numpy(zero_copy_only=False))])[upto]
 
 
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of words the hash of its minimizer, and the minimizer's position."""
-    size = min(ANCHOR, window)
-    grams = B.word_windows(hashes, size, B.SECOND_ROLL)
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    best, at = grams[:n].copy(), np.arange(n)
-    for s in range(1, window - size + 1):
-        less = grams[s : s + n] < best
-        best[less] = grams[s : s + n][less]
-        at[less] = np.flatnonzero(less) + s
-    return best, at
+def word_names(words: pa.Array) -> np.ndarray:
+    """128 bits [n, 2] for each word; equal words have equal ones, and others not but by an accident of the digest."""
+    coded = words.dictionary_encode()
+    raw = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.cast(pa.large_binary()).to_pylist()])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)[coded.indices.to_numpy()]
 
 
-def _cells(keys: np.ndarray, cells: int) -> list[np.ndarray]:
-    mask = U(cells - 1)
-    return [(keys & mask).astype(np.int64), ((keys >> U(32)) & mask).astype(np.int64)]
+class Windows:
+    """All windows of the words of some texts: ``start`` and ``owner`` of each, its ``anchor``, and where a new one begins."""
 
+    def __init__(self, texts: pa.Array, window: int):
+        self.window, (self.words, self.bounds) = window, split_words(texts)
+        self.names = word_names(self.words)
+        n, size = len(self.names), min(ANCHOR, window)
+        owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        ok = owner[: max(n - window + 1, 0)] == owner[window - 1 :]
+        self.start = np.flatnonzero(ok)
+        self.owner = owner[self.start]
+        grams = B.word_windows(self.names[:, 0], size, B.SECOND_ROLL)
+        best, at = grams[: len(ok)].copy(), np.arange(len(ok))
+        for s in range(1, window - size + 1):
+            other = grams[s : s + len(ok)]
+            less = other < best
+            best[less] = other[less]
+            at[less] = np.flatnonzero(less) + s
+        self.anchor = best[self.start]
+        self.new = np.diff(at[self.start], prepend=-1) != 0
 
-class Sketch:
-    """A count-min sketch whose counters stop at two."""
+    def keys(self) -> np.ndarray:
+        return self.anchor[self.new]
 
-    def __init__(self, cells: int):
-        self.cells = cells
-        self.once = np.zeros((DEPTH, cells >> 3), np.uint8)
-        self.twice = np.zeros((DEPTH, cells >> 3), np.uint8)
+    def candidates(self, test: Test) -> np.ndarray:
+        """Which windows may be repeated."""
+        return test(self.keys())[np.cumsum(self.new) - 1] if len(self.start) else np.zeros(0, bool)
 
-    def add(self, keys: np.ndarray) -> None:
-        for row, cells in enumerate(_cells(keys, self.cells)):
-            at, n = np.unique(cells, return_counts=True)
-            byte, bit = at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
-            again = (n > 1) | (self.once[row][byte] & bit > 0)
-            np.bitwise_or.at(self.twice[row], byte[again], bit[again])
-            np.bitwise_or.at(self.once[row], byte, bit)
+    def named(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of name of some windows."""
+        start = self.start[which]
+        roll = lambda r, half: r.windows(r.prefix(self.names[:, half]), start, start + self.window)
+        return roll(B.WORD_ROLL, 0).view(np.int64), (roll(B.BYTE_ROLL, 1) >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def repeated(twice: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys the sketch estimates at two or more."""
-    out = np.ones(len(keys), bool)
-    for row, cells in enumerate(_cells(keys, twice.shape[1] << 3)):
-        out &= twice[row][cells >> 3] & np.left_shift(1, cells & 7).astype(np.uint8) > 0
-    return out
+def _joined(words: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The words of each text, joined by one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words.cast(pa.string())), " ")
 
 
-def _anchor_keys(window: int):
-    def keys(text: pa.Scalar) -> np.ndarray:
-        data = _data(text)
-        best, at = anchors(B.word_hashes(data, *B.word_bounds(data)), window)
-        return best[np.flatnonzero(np.diff(at, prepend=-1))]
+def _shas(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts], pa.string())
 
-    return keys
 
-
-def sketch_of(docs: DataFrame, text_col: str, keys_of, bytes_per_key: int = 20, cells_per_key: int = CELLS_PER_KEY, most_cells: int = MOST_CELLS) -> np.ndarray:
-    """The "twice" bits [DEPTH, cells / 8] of the whole corpus's sketch of ``keys_of(text)``."""
-    import zstandard as zstd
-
-    size = docs.select(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    cells = 1 << 16
-    while cells < min(most_cells, size // bytes_per_key * cells_per_key):
-        cells *= 2
-    block = min(BLOCK, cells >> 3)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        sketch, press = Sketch(cells), zstd.ZstdCompressor(level=1)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                sketch.add(np.concatenate([keys_of(text) for text in batch.column(0).slice(i, 256)]))
-        part = TaskContext.get().partitionId()
-        for row in range(DEPTH):
-            for b in range(0, cells >> 3, block):
-                bits = [x[row, b : b + block] for x in (sketch.once, sketch.twice)]
-                if bits[0].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([b // block]), pa.array([part]), *(pa.array([press.compress(x.tobytes())]) for x in bits)], names=["row", "block", "part", "once", "twice"])
-
-    def merge(key, group):
-        import pandas as pd
-
-        once, twice = np.zeros(block, np.uint8), np.zeros(block, np.uint8)
-        opened = zstd.ZstdDecompressor()
-        for a, b in zip(group["once"], group["twice"], strict=True):
-            x, y = (np.frombuffer(opened.decompress(z), np.uint8) for z in (a, b))
-            twice |= y | (once & x)
-            once |= x
-        press = zstd.ZstdCompressor(level=1)
-        return pd.DataFrame({"row": [key[0]], "block": [key[1]], "part": [key[2]], "once": [press.compress(once.tobytes())], "twice": [press.compress(twice.tobytes())]})
-
-    schema = "row long, block long, part long, once binary, twice binary"
-    parts = settle(docs.select(text_col).mapInArrow(partial, schema), "sketch")
-    most = (parts.agg(F.max("part")).first()[0] or 0) + 1
-    while True:  # a tree: no task merges more than 64 partial blocks
-        most = -(-most // 64)
-        parts = parts.withColumn("part", F.floor(F.col("part") / 64)).groupBy("row", "block", "part").applyInPandas(merge, schema)
-        if most == 1:
-            break
-        parts = settle(parts, "sketch")
-    out = np.zeros((DEPTH, cells >> 3), np.uint8)
-    opened = zstd.ZstdDecompressor()
-    for row, b, raw in parts.select("row", "block", "twice").collect():  # at most DEPTH * MOST_CELLS bits
-        out[row, b * block : (b + 1) * block] = np.frombuffer(opened.decompress(raw), np.uint8)
-    return out
-
-
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, most_cells: int = MOST_CELLS) -> DataFrame:
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, most_cells: int = MOST_CELLS, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """What remains of each document.
 
     Returns one row per input row: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, the remaining words joined by one
     space, if ``keep_text``). A word goes if a window of ``window`` words around it also starts in a document with a smaller id.
     Null and empty texts have no words. A null id is larger than all others and equal to other null ids; rows that share an id
-    never remove from each other. An empty table gives no rows. Only the named columns are read.
+    never remove from each other. An empty table gives no rows. Only the named columns are read. A text is processed whole, in
+    about 60 times its bytes of a worker's memory; texts of 2 GB or more are beyond Arrow's arrays.
     """
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(sketch_of(docs, text_col, _anchor_keys(window), most_cells=most_cells))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("name"), text.alias("text"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = sketch.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(i, TOGETHER)
-                counts, shas, texts, at, first, second = [], [], [], [], [], []
-                for text in part.column("text"):
-                    data = _data(text)
-                    hashes = B.word_hashes(data, *B.word_bounds(data))
-                    found = np.flatnonzero(repeated(twice, anchors(hashes, window)[0]))
-                    raw = text.as_py() or b""
-                    counts.append(len(hashes))
-                    shas.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                    texts.append(raw if len(found) or keep_text else None)
-                    at.append(found.astype(np.int32))
-                    first.append(B.word_windows(hashes, window)[found].view(np.int64) if len(found) else np.zeros(0, np.int64))
-                    second.append((B.word_windows(hashes, window, B.BYTE_ROLL)[found] >> U(32)).astype(np.uint32).view(np.int32) if len(found) else np.zeros(0, np.int32))
-                # of equal windows met here, only those of the least id are sent on: for the others it is settled
-                sizes = [len(x) for x in at]
-                rank = np.repeat(part.column("doc_id").fill_null(LAST).to_numpy(), sizes)
-                h, c = np.concatenate(first), np.concatenate(second)
-                order = np.lexsort((rank, c, h))
-                new = np.ones(len(order), bool)
-                new[1:] = (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)
-                least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else rank
-                settled = np.zeros(len(order), bool)
-                settled[order] = rank[order] > least
-                cut = np.split(settled, np.cumsum(sizes)[:-1])
-                lists = [[x[~s] if len(x) and not s.all() else None for x, s in zip(xs, cut, strict=True)] for xs in (at, first, second)]
-                sure = [x[s] if s.any() else None for x, s in zip(at, cut, strict=True)]
-                kinds = (pa.int32(), pa.int64(), pa.int32())
-                columns = [pa.array(counts, pa.int64()), pa.array(shas), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True)), pa.array(sure, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("name"), *columns], names=["doc_id", "name", "n_words", "sha", "at", "h", "c", "sure", "text"])
-
-    scanned = source.mapInArrow(scan, "doc_id long, name string, n_words long, sha string, at array<int>, h array<long>, c array<int>, sure array<int>, text binary")
-    scanned = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "*"), "windows")
-    copies = scanned.groupBy("name").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("name", "least")
-    copies = small(settle(copies, "copies"))
-    marked = scanned.join(copies, "name", "left").withColumn("copy", F.coalesce(F.col("rank") > F.col("least"), F.lit(False)))
-    # exact grouping of what the sketch lets through, without the copies: one exchange. A key has at most one id for each
-    # TOGETHER documents, and a window of rows spills
-    rows = marked.filter(~F.col("copy") & F.col("h").isNotNull()).select("rid", "rank", F.explode(F.arrays_zip("h", "c", "at")).alias("x")).select("rid", "rank", "x.h", "x.c", "x.at")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("name"), text.alias("text"))
+
+    def scan(batch: pa.RecordBatch, test: Test) -> Iterator[pa.RecordBatch]:
+        n, windows = batch.num_rows, Windows(batch.column("text"), window)
+        found = np.flatnonzero(windows.candidates(test))
+        owner, (h, c) = windows.owner[found], windows.named(found)
+        at = (windows.start[found] - windows.bounds[owner]).astype(np.int32)
+        # of equal windows met here, only those of the least id are sent on: for the others it is settled
+        rank = batch.column("doc_id").fill_null(LAST).to_numpy()[owner]
+        order = np.lexsort((rank, c, h))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)
+        least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else rank
+        sure = np.zeros(len(order), bool)
+        sure[order] = rank[order] > least
+        lists = [by_text(x[~sure], owner[~sure], n) for x in (at, h, c)]
+        columns = [pa.array(np.diff(windows.bounds)), _shas(_joined(windows.words, windows.bounds)), *lists, by_text(at[sure], owner[sure], n)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), *columns], names=["doc_id", "name", "n_words", "sha", "at", "h", "c", "sure"])
+
+    keys = lambda texts: Windows(texts, window).keys()
+    schema = "doc_id long, name binary, n_words long, sha string, at array<int>, h array<long>, c array<int>, sure array<int>"
+    scanned = scan_repeated(source, keys, scan, schema, BYTES_PER_KEY, CELLS_PER_KEY, most_cells, shard_cells)
+    numbered = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "*"), "windows")
+    free(scanned)
+    # of a text that several rows have, the first of the least id stands for all of that id, or without a window for all; the others go as a whole
+    copies = numbered.groupBy("name").agg(F.min(F.struct("rank", "rid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = settle(copies.select("name", F.col("first.rank").alias("least"), F.col("first.rid").alias("rep")), "copies")
+    marked = numbered.join(small(copies), "name", "left")
+    goes = F.coalesce(F.col("rank") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)
+    marked = marked.withColumn("rep", F.when(~goes, F.coalesce("rep", "rid")))
+    # exact grouping of what the sketch lets through, one exchange; a key has at most one id for each batch, and a window of rows spills
+    once = marked.filter(F.col("rep") == F.col("rid"))
+    rows = once.filter(F.col("h").isNotNull()).select("rid", "rank", F.explode(F.arrays_zip("h", "c", "at")).alias("x")).select("rid", "rank", "x.h", "x.c", "x.at")
     least = F.min("rank").over(Window.partitionBy("h", "c"))
     gone = rows.select("rid", "rank", "at", least.alias("least")).filter(F.col("rank") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("gone"))
     gone = settle(gone, "gone")
-    todo = marked.select("rid", "doc_id", "n_words", "sha", "copy", "sure", "text").join(gone, "rid", "left")
+    wanted = once.select("rid", "doc_id", "name", "sure").join(gone, "rid", "left")
+    wanted = settle(wanted if keep_text else wanted.filter(F.col("gone").isNotNull() | F.col("sure").isNotNull()), "wanted")
+    rows = settle(marked.select("rid", "rep", "doc_id", "n_words", "sha"), "rows")
+    free(numbered, copies, gone)
+    texts = named(source, wanted)
+    same = (wanted["name"] == texts["name"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])
+    todo = wanted.join(texts, same).select("rid", "sure", "gone", "text")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, shas, kept = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("n_words", "sha", "copy")] + [batch.column(c) for c in ("text", "gone", "sure")]
-            for n, sha, copy, text, *found in zip(*columns, strict=True):
-                if copy and n >= window:
-                    words, lost = [], n
-                elif not copy and any(x.is_valid for x in found):
-                    edge = np.zeros(n + 1, np.int32)
-                    for starts in (x.values.to_numpy() for x in found if x.is_valid):
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + window, -1)
-                    cover = np.cumsum(edge)[:n] > 0
-                    words = [w for w, c in zip(text.as_py().split(), cover.tolist(), strict=True) if not c]
-                    lost = int(cover.sum())
-                else:
-                    words, lost = (text.as_py().split() if keep_text else None), 0
-                removed.append(lost)
-                joined = None if words is None else b" ".join(words)
-                shas.append(sha if not lost else hashlib.sha256(joined).hexdigest())
-                kept.append(joined if keep_text else None)
-            out = [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if keep_text:
-                out.append(pa.array([k.decode() for k in kept], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=names + ["kept"] * keep_text)
-
-    return todo.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+            words, bounds = split_words(batch.column("text"))
+            edge = np.zeros(len(words) + 1, np.int32)
+            for lists in (batch.column("sure"), batch.column("gone")):
+                owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                start = bounds[owner] + lists.flatten().to_numpy()
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + window, -1)
+            stays = np.cumsum(edge)[:-1] == 0
+            upto = np.concatenate([[0], np.cumsum(stays)])[bounds]
+            kept = _joined(words.filter(pa.array(stays)), upto)
+            removed = pa.array(np.diff(bounds) - np.diff(upto))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), removed, _shas(kept), *[kept] * keep_text], names=["rep", "n_removed", "left", *["kept"] * keep_text])
+
+    done = todo.mapInArrow(finish, "rep long, n_removed long, left string" + ", kept string" * keep_text)
+    done = settle(done.dropDuplicates(["rep"]), "done")  # two rows of one text and id may meet in ``texts``; they are equal
+    free(wanted)
+    out = rows.join(done, "rep", "left")
+    whole = F.col("rep").isNull()
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
+        *([F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
+    )
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

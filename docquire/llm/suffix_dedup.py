@@ -11,6 +11,9 @@ become unique is left out of the next:
 
 Windows without a cut near their start are compared singly from the beginning. Interval names are
 fingerprints (64 bits for filters, 96 for decisions) instead of ranks in a merged suffix order; the README says why.
+They are sums over mixed runs of GRAM bytes, which no arrangement of letters cancels out.
+
+What is equal within a batch is settled there, and one of each goes on; so no name has more rows than there are batches.
 """
 
 from __future__ import annotations
@@ -24,36 +27,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
-from .common import settle, small, table
-from .substring_dedup import repeated, sketch_of
+from .common import by_text, free, settle, small, table
+from .sketch import MOST_CELLS, SHARD_CELLS, Test, named, scan_repeated
 
 U = np.uint64
-#: Bytes of a repeat; a cut at one in CUT positions by the hash of KMER bytes; windows farther than REACH before a cut are single.
-SIZE, KMER, CUT, REACH, BLOCK = 400, 16, 64, 383, 48
-CELLS_PER_KEY = 4
-#: Slots of the bitmap of names; a full one lets all texts through, which only costs time.
-NAMES = 1 << 20
+#: Bytes of a repeat; a cut at one in CUT positions by the hash of GRAM bytes; windows farther than REACH before a cut are single.
+SIZE, GRAM, CUT, REACH, BLOCK = 400, 8, 64, 383, 48
+#: Of the sketch.
+BYTES_PER_KEY, CELLS_PER_KEY = BLOCK // 2, 4
 
 
 def _data(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer(text.as_buffer() or b"", np.uint8) if text.is_valid else np.zeros(0, np.uint8)
 
 
+class Names:
+    """Fingerprints of the intervals of a text."""
+
+    def __init__(self, data: np.ndarray, roll: B.Roll):
+        grams = np.ndarray(max(len(data) - GRAM + 1, 0), "<u8", np.ascontiguousarray(data).data if len(data) >= GRAM else b"", strides=(1,))
+        self.values, self.roll = B.splitmix(grams ^ U(roll.base)), roll
+        self.prefix = roll.prefix(self.values)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64 bits for each [start, end); these have GRAM bytes at least."""
+        return self.roll.windows(self.prefix, start, end - GRAM + 1) if len(start) else np.zeros(0, np.uint64)
+
+
 class Cuts:
     """The blocks of one text: ``lo`` and ``hi``, first and last window start; ``core``, where the core begins; ``far``, the other window starts."""
 
     def __init__(self, data: np.ndarray, size: int):
-        self.data, self.size, self.n = data, size, len(data)
-        reach, self.block = min(REACH, size - KMER), min(BLOCK, size // 2)
-        last = self.n - size
-        if last < 0 or reach < 0:
-            self.lo = self.hi = self.first = self.core = np.zeros(0, np.int64)
-            self.far = np.arange(max(last + 1, 0))
-            self.prefix = B.BYTE_ROLL.prefix(B.BYTE_ROLL.bytes[data]) if len(self.far) else None
+        self.data, self.size, last = data, size, len(data) - size
+        self.lo = self.hi = self.first = self.core = self.far = np.zeros(0, np.int64)
+        if last < 0:
             return
-        self.prefix = B.BYTE_ROLL.prefix(B.BYTE_ROLL.bytes[data])
-        kmers = (self.prefix[KMER:] - self.prefix[:-KMER]) * B.BYTE_ROLL.up[: self.n - KMER + 1]
-        at = np.flatnonzero(((kmers ^ (kmers >> U(29))) * U(0xBF58476D1CE4E5B9) >> U(33)) % U(CUT) == 0)
+        reach, self.block = min(REACH, size - GRAM), min(BLOCK, size // 2)
+        self.names = Names(data, B.BYTE_ROLL)
+        at = np.flatnonzero(B.splitmix(self.names.values) % U(CUT) == 0)
         before = np.concatenate([[-1], at[:-1]]) if len(at) else at
         lo, hi = np.maximum(np.maximum(before + 1, at - reach), 0), np.minimum(at, last)
         # windows between the cut before and the reach of this one, and those after the last cut
@@ -63,153 +74,165 @@ class Cuts:
         self.far = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         ok = lo <= hi
         at, lo, hi, before = at[ok], lo[ok], hi[ok], before[ok]
+        if not len(at):
+            return
         # block k has the windows that start k * block to k * block + block - 1 bytes before the cut
         low, high = (at - hi) // self.block, (at - lo) // self.block
         count = high - low + 1
         who = np.repeat(np.arange(len(at)), count)
-        k = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else who
+        k = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         self.lo, self.hi = np.maximum(lo[who], at[who] - k * self.block - self.block + 1), np.minimum(hi[who], at[who] - k * self.block)
         self.core = at[who] - k * self.block
         # an extent that begins right after the cut before takes that cut in, so that an equal extent is cut alike
         self.first = np.where((before[who] >= 0) & (self.lo == before[who] + 1), before[who], self.lo)
 
     def cores(self) -> np.ndarray:
-        return B.BYTE_ROLL.windows(self.prefix, self.core, self.core + self.size - self.block + 1) if len(self.core) else np.zeros(0, np.uint64)
+        return self.names(self.core, self.core + self.size - self.block + 1) if len(self.core) else np.zeros(0, np.uint64)
 
     def far_names(self) -> np.ndarray:
-        return B.BYTE_ROLL.windows(self.prefix, self.far, self.far + self.size) if len(self.far) else np.zeros(0, np.uint64)
+        return self.names(self.far, self.far + self.size) if len(self.far) else np.zeros(0, np.uint64)
 
-    def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """32 more bits of name."""
-        prefix = B.SECOND_ROLL.prefix(B.SECOND_ROLL.bytes[self.data])
-        return (B.SECOND_ROLL.windows(prefix, start, end) >> U(32)).astype(np.uint32).view(np.int32)
 
+def _second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 more bits of name."""
+    return (Names(data, B.SECOND_ROLL)(start, end) >> U(32)).astype(np.uint32).view(np.int32)
 
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array([None if v is None or not len(v) else v for v in values], pa.list_(kind))
 
+def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.asarray(p, kind) for p in parts)])
 
-def _core_keys(size: int):
-    def keys(text: pa.Scalar) -> np.ndarray:
-        cuts = Cuts(_data(text), size)
-        return np.concatenate([cuts.cores(), cuts.far_names()])
 
-    return keys
+def _settled(names: tuple[np.ndarray, np.ndarray], place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal names the one at the least place (owner, offset); and which names stand at several places."""
+    order = np.lexsort((*place[::-1], *names[::-1]))
+    new, other = (np.ones(len(order), bool) for _ in range(2))
+    if len(order):
+        new[1:] = np.any([np.diff(x[order]) != 0 for x in names], axis=0)
+        other[1:] = new[1:] | np.any([np.diff(x[order]) != 0 for x in place], axis=0)
+    first, several = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order] = new
+    if len(order):
+        group = np.cumsum(new) - 1
+        several[order] = (np.bincount(group, other & ~new) > 0)[group]
+    return first, several
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_cells: int = MOST_CELLS, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """What remains of each document.
 
     Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. A byte goes if a string of ``size`` bytes around it
     also starts anywhere else, in the same document or another. Null texts are empty; texts shorter than ``size`` stay whole.
     Repeated rows of at least ``size`` bytes remove each other. Ids are only carried. An empty table gives no rows. Only the named columns are read.
+    A text is processed whole, in about 60 times its bytes of a worker's memory; texts of 2 GB or more are beyond Arrow's arrays.
     """
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(sketch_of(docs, text_col, _core_keys(size), bytes_per_key=BLOCK // 2, cells_per_key=CELLS_PER_KEY))
+    if size < 2 * GRAM:
+        raise ValueError(f"repeats have {2 * GRAM} bytes at least")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("name"), text.alias("text"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = sketch.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part, rows = batch.slice(i, 128), []
-                for text in part.column("text"):
-                    data = _data(text)
-                    row = [len(data), hashlib.sha256(data).hexdigest()]
-                    cuts = Cuts(data, size)
-                    cores, far = cuts.cores(), cuts.far_names()
-                    k, f = np.flatnonzero(repeated(twice, cores)), np.flatnonzero(repeated(twice, far))
-                    if len(k):
-                        first, end = cuts.first[k], cuts.hi[k] + size
-                        row += [cuts.lo[k].astype(np.int32), cuts.hi[k].astype(np.int32), cores[k].view(np.int64), B.BYTE_ROLL.windows(cuts.prefix, first, end).view(np.int64), cuts.second(first, end)]
-                    else:
-                        row += [None] * 5
-                    row += [cuts.far[f].astype(np.int32), far[f].view(np.int64), cuts.second(cuts.far[f], cuts.far[f] + size)] if len(f) else [None] * 3
-                    rows.append(row)
-                n, sha, *lists = zip(*rows, strict=True)
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-                columns = [pa.array(n, pa.int64()), pa.array(sha), *(_lists(x, kind) for x, kind in zip(lists, kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("name"), *columns], names=["doc_id", "name", "n", "sha", "lo", "hi", "c", "e", "e2", "w", "h", "h2"])
-
     kind = source.schema["doc_id"].dataType.simpleString()
-    lists = "lo array<int>, hi array<int>, c array<long>, e array<long>, e2 array<int>, w array<int>, h array<long>, h2 array<int>"
-    scanned = source.mapInArrow(scan, f"doc_id {kind}, name binary, n long, sha string, {lists}")
-    scanned = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), "*"), "cuts")
+
+    def keys(texts: pa.Array) -> np.ndarray:
+        found = []
+        for text in texts:
+            cuts = Cuts(_data(text), size)
+            found += [cuts.cores(), cuts.far_names()]
+        return _flat(found, np.uint64)
+
+    def scan(batch: pa.RecordBatch, test: Test) -> Iterator[pa.RecordBatch]:
+        n, shas = batch.num_rows, []
+        block: list[list] = [[] for _ in range(6)]  # owner, lo, hi, core's name, extent's two names
+        far: list[list] = [[] for _ in range(4)]  # owner, start, two names
+        for i, text in enumerate(batch.column("text")):
+            data = _data(text)
+            shas.append(hashlib.sha256(data).hexdigest())
+            cuts = Cuts(data, size)
+            cores, single = cuts.cores(), cuts.far_names()
+            k, f = np.flatnonzero(test(cores)), np.flatnonzero(test(single))
+            if len(k):
+                first, end = cuts.first[k], cuts.hi[k] + size
+                for held, x in zip(block, (np.full(len(k), i), cuts.lo[k], cuts.hi[k], cores[k].view(np.int64), cuts.names(first, end).view(np.int64), _second(data, first, end)), strict=True):
+                    held.append(x)
+            if len(f):
+                for held, x in zip(far, (np.full(len(f), i), cuts.far[f], single[f].view(np.int64), _second(data, cuts.far[f], cuts.far[f] + size)), strict=True):
+                    held.append(x)
+        owner, lo, hi, c, e, e2 = (_flat(x, t) for x, t in zip(block, (np.int64, np.int32, np.int32, np.int64, np.int64, np.int32), strict=True))
+        sent, sure = _settled((e, e2), (owner, lo))
+        whose, w, h, h2 = (_flat(x, t) for x, t in zip(far, (np.int64, np.int32, np.int64, np.int32), strict=True))
+        goes, hit = _settled((h, h2), (whose, w))
+        lists = [by_text(x[sent], owner[sent], n) for x in (lo, hi, c, e, e2)] + [by_text(x[sure], owner[sure], n) for x in (lo, hi)]
+        lists += [by_text(x[goes], whose[goes], n) for x in (w, h, h2)] + [by_text(w[hit], whose[hit], n)]
+        sizes = pa.array([len(t.as_buffer() or b"") for t in batch.column("text")], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), sizes, pa.array(shas, pa.string()), *lists], names=["doc_id", "name", "n", "sha", *LISTS])
+
+    LISTS = ["lo", "hi", "c", "e", "e2", "slo", "shi", "w", "h", "h2", "sw"]
+    kinds = ["int", "int", "long", "long", "int", "int", "int", "int", "long", "int", "int"]
+    schema = f"doc_id {kind}, name binary, n long, sha string, " + ", ".join(f"{x} array<{k}>" for x, k in zip(LISTS, kinds, strict=True))
+    scanned = scan_repeated(source, keys, scan, schema, BYTES_PER_KEY, CELLS_PER_KEY, most_cells, shard_cells)
+    numbered = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), "*"), "cuts")
+    free(scanned)
     # whole texts that repeat: all of them go; one of each stays in the comparison
-    copies = scanned.filter(F.col("n") >= size).groupBy("name").agg(F.min("rid").alias("kept"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("name", "kept")
-    copies = small(settle(copies, "copies"))
-    marked = scanned.join(copies, "name", "left")
+    copies = numbered.filter(F.col("n") >= size).groupBy("name").agg(F.min("rid").alias("kept"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("name", "kept")
+    copies = settle(copies, "copies")
+    marked = numbered.join(small(copies), "name", "left")
     once = marked.filter(F.col("kept").isNull() | (F.col("kept") == F.col("rid")))
     cuts = once.filter(F.col("c").isNotNull()).select("rid", F.explode(F.arrays_zip("lo", "hi", "c", "e", "e2")).alias("x")).select("rid", "x.*")
-    # one exchange: how often an extent occurs, and which occurrence is the first; windows of rows spill
+    # one exchange: whether an extent occurs again, and which occurrence is the first; windows of rows spill
     alike = Window.partitionBy("e", "e2")
     place = F.struct("rid", "lo")
     cuts = cuts.select("rid", "lo", "hi", "c", (F.count(F.lit(1)).over(alike) > 1).alias("again"), (F.min(place).over(alike) == place).alias("first"))
     cuts = settle(cuts, "intervals")
-    whole = cuts.filter("again").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("whole"))
+    whole = cuts.filter("again").groupBy("rid").agg(F.collect_list("lo").alias("wlo"), F.collect_list("hi").alias("whi"))
     # a core with one extent is unique, or repeats as a whole; of several extents one of each is opened
-    extents = cuts.filter("first").select("rid", "lo", "hi", F.count(F.lit(1)).over(Window.partitionBy("c")).alias("k"))
-    opened = extents.filter("k > 1").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
+    extents = cuts.filter("first").select("rid", "lo", "hi", "c")
+    several = extents.groupBy("c").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("c")
+    opened = extents.join(several, "c", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("edges"))
     found = settle(whole.join(opened, "rid", "full"), "extents")
-    far = once.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*")
-
-    # the texts of the documents concerned: a bitmap of their names spares the shuffle of all others
-    wanted = settle(once.select("rid", "doc_id", "name", F.col("kept").isNull().alias("alone"), F.col("w").isNotNull().alias("far")).join(found, "rid", "left").filter(F.col("far") | F.col("whole").isNotNull() | F.col("edges").isNotNull()), "wanted")
-    slot = F.pmod(F.xxhash64("name"), F.lit(NAMES))
-    bits = np.zeros(NAMES >> 3, np.uint8)
-    for (b, v) in wanted.select(F.floor(slot / 8).alias("b"), F.expr(f"shiftleft(1, cast(pmod(xxhash64(name), {NAMES}) % 8 as int))").alias("v")).groupBy("b").agg(F.bit_or("v")).collect():  # at most NAMES / 8 rows
-        bits[b] = v
-    named = spark.sparkContext.broadcast(bits)
-    texts = source.select("doc_id", "name", slot.alias("slot"), "text")
-
-    def concerned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = named.value
-        for batch in batches:
-            at = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "name", "text"])
-
-    texts = texts.mapInArrow(concerned, f"doc_id {kind}, name binary, text binary")
+    free(cuts)
+    single = settle(once.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*"), "far")
+    # the texts of the documents concerned
+    wanted = once.select("rid", "doc_id", "name", F.col("kept").isNull().alias("alone"), F.col("w").isNotNull().alias("far"), "slo", "shi", "sw").join(found, "rid", "left")
+    wanted = settle(wanted.filter(F.col("far") | F.coalesce("wlo", "slo", "sw").isNotNull() | F.col("edges").isNotNull()), "wanted")
+    rows = settle(marked.select("rid", "doc_id", "n", "sha", F.col("kept").isNotNull().alias("copy")), "rows")
+    free(numbered, copies, found)
+    texts = named(source, wanted)
     # by the id too: of many copies of a text only the one that stays is looked at
     same = (wanted["name"] == texts["name"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])
-    joined = wanted.join(texts, same).select("rid", "alone", "whole", "edges", "text")
+    joined = wanted.join(texts, same).select("rid", "alone", "wlo", "whi", "slo", "shi", "sw", "edges", "text")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, h, h2 = [], [], []
-            for text, edges in zip(batch.column("text"), batch.column("edges").to_pylist(), strict=True):
+            held: list[list] = [[] for _ in range(4)]  # row, window, two names
+            for i, (text, edges) in enumerate(zip(batch.column("text"), batch.column("edges").to_pylist(), strict=True)):
                 if edges:
-                    at = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in edges])
-                    data = _data(text)
-                    w.append(at.astype(np.int32))
-                    h.append(B.BYTE_ROLL.windows(B.BYTE_ROLL.prefix(B.BYTE_ROLL.bytes[data]), at, at + size).view(np.int64))
-                    h2.append((B.SECOND_ROLL.windows(B.SECOND_ROLL.prefix(B.SECOND_ROLL.bytes[data]), at, at + size) >> U(32)).astype(np.uint32).view(np.int32))
-                else:
-                    w.append(None), h.append(None), h2.append(None)
+                    at, data = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in edges]), _data(text)
+                    for part, x in zip(held, (np.full(len(at), i), at, Names(data, B.BYTE_ROLL)(at, at + size).view(np.int64), _second(data, at, at + size)), strict=True):
+                        part.append(x)
+            owner, w, h, h2 = (_flat(x, t) for x, t in zip(held, (np.int64, np.int32, np.int64, np.int32), strict=True))
+            goes, hit = _settled((h, h2), (batch.column("rid").to_numpy()[owner], w))
             # only documents that are decided here need their texts again
             kept = [t.as_py() if a else None for t, a in zip(batch.column("text"), batch.column("alone").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("alone"), pa.array(kept, pa.binary()), batch.column("whole"), _lists(w, pa.int32()), _lists(h, pa.int64()), _lists(h2, pa.int32())], names=["rid", "alone", "text", "whole", "w", "h", "h2"])
-
-    opened = settle(joined.mapInArrow(ends, "rid long, alone boolean, text binary, whole array<struct<lo: int, hi: int>>, w array<int>, h array<long>, h2 array<int>"), "texts")
-    single = opened.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*").unionByName(far)
+            lists = [by_text(x[goes], owner[goes], batch.num_rows) for x in (w, h, h2)] + [by_text(w[hit], owner[hit], batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CARRIED), pa.array(kept, pa.binary()), *lists], names=[*CARRIED, "text", "w", "h", "h2", "hw"])
+
+    CARRIED = ["rid", "alone", "wlo", "whi", "slo", "shi", "sw"]
+    arrays = ", ".join(f"{x} array<int>" for x in CARRIED[2:])
+    opened = settle(joined.mapInArrow(ends, f"rid long, alone boolean, {arrays}, text binary, w array<int>, h array<long>, h2 array<int>, hw array<int>"), "texts")
+    free(wanted)
+    windows = opened.filter(F.col("w").isNotNull()).select("rid", F.explode(F.arrays_zip("w", "h", "h2")).alias("x")).select("rid", "x.*").unionByName(single)
     # a window of a text that two rows brought here is one; it repeats if its name stands at another place too
     alike, place = Window.partitionBy("h", "h2"), F.struct("rid", "w")
-    hits = single.select("rid", "w", (F.min(place).over(alike) != F.max(place).over(alike)).alias("hit")).filter("hit").groupBy("rid").agg(F.collect_set("w").alias("hits"))
-    last = opened.filter("alone").select("rid", "text", "whole").join(hits, "rid", "left")
+    hits = windows.select("rid", "w", (F.min(place).over(alike) != F.max(place).over(alike)).alias("hit")).filter("hit").groupBy("rid").agg(F.collect_set("w").alias("hits"))
+    last = opened.filter("alone").select("rid", "text", "wlo", "whi", "slo", "shi", "sw", "hw").join(hits, "rid", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, shas = [], [], []
-            for text, whole, hits in zip(batch.column("text"), batch.column("whole").to_pylist(), batch.column("hits"), strict=True):
+            columns = [[x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in batch.column(c)] for c in ("wlo", "slo", "sw", "hw", "hits", "whi", "shi")]
+            for text, *starts, whi, shi in zip(batch.column("text"), *columns, strict=True):
                 data = _data(text)
                 edge = np.zeros(len(data) + 1, np.int32)
-                if whole:
-                    np.add.at(edge, [c["lo"] for c in whole], 1)
-                    np.add.at(edge, [c["hi"] + size for c in whole], -1)
-                if hits.is_valid:
-                    at = hits.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + size, -1)
+                np.add.at(edge, np.concatenate(starts), 1)
+                np.add.at(edge, np.concatenate([whi, shi, *starts[2:]]) + size, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
@@ -217,9 +240,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string())], names=["rid", "n_removed", "n_spans", "left"])
 
     # two rows of one text may meet in ``texts``; they are equal
-    done = last.mapInArrow(finish, "rid long, n_removed long, n_spans long, left string").dropDuplicates(["rid"])
-    out = marked.select("rid", "doc_id", "n", "sha", F.col("kept").isNotNull().alias("copy")).join(done, "rid", "left")
-    nothing = hashlib.sha256(b"").hexdigest()
+    done = settle(last.mapInArrow(finish, "rid long, n_removed long, n_spans long, left string").dropDuplicates(["rid"]), "done")
+    free(opened, single)
+    out, nothing = rows.join(done, "rid", "left"), hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id",
         F.col("n").alias("n_bytes"),

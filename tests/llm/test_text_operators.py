@@ -82,6 +82,8 @@ def test_suffix_dedup(awkward, empty):
     df, rows = awkward
     expected = Counter((r[0], *x) for r, x in zip(rows, brute.byte_repeats([r[1] for r in rows]), strict=True))
     assert rows_of(suffix_dedup.dedup_bytes(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    sharded = suffix_dedup.dedup_bytes(df, most_cells=1 << 8, shard_cells=1 << 10)
+    assert rows_of(sharded, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
@@ -103,12 +105,24 @@ def test_substring_dedup(awkward, empty):
     out = substring_dedup.dedup_windows(df, keep_text=True)
     assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256") == expected
     assert all(brute.sha(r.kept) == r.kept_sha256 for r in out.collect())
-    # a sketch that is far too small loses nothing either
-    full = substring_dedup.dedup_windows(df, most_cells=1 << 10)
-    assert rows_of(full, "doc_id", "n_words", "n_removed", "kept_sha256") == expected
+    # nor does a sketch in many shards, full ones too, lose anything
+    for cells in (1 << 6, 1 << 10):
+        sharded = substring_dedup.dedup_windows(df, most_cells=1 << 8, shard_cells=cells)
+        assert rows_of(sharded, "doc_id", "n_words", "n_removed", "kept_sha256") == expected
     assert substring_dedup.dedup_windows(empty).count() == 0
 
 
+def test_words_that_sums_of_letters_take_for_equal(spark):
+    """Two words that hash alike as polynomials modulo a power of two are two words."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(0, f"{rest} {a}"), (1, f"{rest} {b}"), (2, f"{rest} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(substring_dedup.dedup_windows(df).select("doc_id", "n_removed").collect()) == {0: 0, 1: 0, 2: 13}
+
+
 def test_near_duplicates(awkward, empty, documents, spark):
     df, rows = awkward
     got = near_dup.near_duplicates(df).collect()
