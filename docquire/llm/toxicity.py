@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, small, table, text_key
@@ -46,7 +46,8 @@ SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2})+(?!\S)")
 PREFIXES = (4, 5, 6)
 #: The classifier is fitted on at most so many labelled rows, those with the smallest id hash.
 FIT_ROWS = 20_000
-LEXICON = 20_000
+#: Tokens whose readings a worker remembers, and features whose counts it holds before it hands them on.
+MOST_TOKENS, MOST_COUNTS = 30_000, 200_000
 
 
 def _class_table() -> np.ndarray:
@@ -176,7 +177,7 @@ class Restorer:
                 continue
             found = self.runs.get(run)
             if found is None:
-                if len(self.runs) > 100_000:
+                if len(self.runs) > MOST_TOKENS:
                     self.runs.clear()
                 found = self.runs[run] = frozenset(f for word in self.read_spaced(run) for f in word_features(word))
             out |= found
@@ -194,7 +195,7 @@ def is_held_out(doc_id: Column) -> Column:
 class Scorer:
     """Per document: the strongest marker's weight, the number of markers."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.restorer, self.weights = Restorer(model), weights
@@ -231,7 +232,12 @@ def _fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return settle(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("text", "label"), "toxicity-fit")
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"])
+    held = settle(found.select("doc_id", "text", "label"), "toxicity-found")
+    if held.count() > rows:  # rows share ids: one of each
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(text_key(F.col("text"))))
+        held = held.withColumn("nth", nth).filter("nth = 1")
+    return settle(held.select("text", "label"), "toxicity-fit")
 
 
 class Model:
@@ -261,35 +267,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on ``docs``.
 
     The character model counts all texts. Markers are the words and word beginnings found in at least
-    ``min_toxic`` toxic documents of the sample and with odds of at least 20 to 1, the most frequent
-    first, at most LEXICON of them. Held-out rows are never read here.
+    ``min_toxic`` toxic documents of the sample and with odds of at least 20 to 1; the sample bounds their number. Held-out rows are never read here.
+    Null and empty texts have no features, null labels don't count, of several labels of an id the largest does, and where rows share
+    ids and would be more than ``fit_rows``, one of each id counts. Without labelled rows nothing is toxic. An empty table gives a model without markers.
     """
     characters = character_model(docs, text_col)
     sample = _fit_sample(docs, labels, id_col, text_col, label_col, fit_rows)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, cache, totals = Restorer(characters), {}, {0: Counter(), 1: Counter()}
+        restorer, cache, totals = Restorer(characters), {}, (Counter(), Counter())
+
+        def found() -> pa.RecordBatch:
+            names = list(totals[0].keys() | totals[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([totals[1][f] for f in names], pa.int64()), pa.array([totals[0][f] for f in names], pa.int64())], names=["feature", "toxic", "clean"])
+
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
                 lower, features = (text.as_py() or "").lower(), set()
                 for token in set(lower.split()):
                     if token not in cache:
-                        cache[token] = restorer.features(token)
-                    features |= cache[token]
-                if len(cache) > 300_000:
+                        cache[token] = tuple(restorer.features(token))
+                    features.update(cache[token])
+                if len(cache) > MOST_TOKENS:
                     cache.clear()
                 totals[int(label > 0)].update(features | restorer.spaced(lower))
-        names = list(totals[0].keys() | totals[1].keys())
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([totals[1][f] for f in part], pa.int64()), pa.array([totals[0][f] for f in part], pa.int64())], names=["feature", "toxic", "clean"])
+                if len(totals[0]) + len(totals[1]) > MOST_COUNTS:
+                    yield found()
+                    totals = (Counter(), Counter())
+        yield found()
 
     sizes = dict(sample.groupBy("label").count().collect())
     n_toxic, n_clean = sum(v for k, v in sizes.items() if k > 0), sum(v for k, v in sizes.items() if k <= 0)
     counts = sample.mapInArrow(counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     strong = counts.filter(F.col("toxic") >= min_toxic).withColumn("weight", odds).filter(F.col("weight") >= float(np.log(20)))
-    weights = {r["feature"]: r["weight"] for r in strong.orderBy(F.desc("toxic"), "feature").limit(LEXICON).collect()}
+    weights = {r["feature"]: r["weight"] for r in strong.collect()}  # each stands in min_toxic of the fit_rows documents
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(characters, weights)
@@ -326,7 +338,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, in all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, in all their columns.
+
+    Null and empty texts stay, as they have no markers. Repeated rows stay or go alike. An empty table stays empty.
+    """
     bad = score(docs, fit(docs, labels, id_col, text_col, **how), id_col, text_col).filter("predicted = 1")
     bad = small(settle(bad.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")), "toxic"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (text_key(docs[text_col]) == bad["_bad_key"]), "left_anti")
