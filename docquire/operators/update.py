@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidDocument, InvalidUpdateDocument
-from ..plans.filters import is_operators
+from ..plans.paths import changed, seeded
 from ..plans.typed import column, compile_filter, kind_of_type, kind_of_value, literal
 
 OPERATORS = ("$set", "$unset", "$inc")
@@ -152,14 +152,23 @@ class Change:
     filter: Mapping | None
     first: bool = False
 
-    def matched(self) -> Column:
-        """Whether a row is one of those. The first one is found by a scalar subquery, one partial minimum per task."""
-        condition = F.coalesce(compile_filter(self.source, self.filter), F.lit(False))
+    def _condition(self) -> Column:
+        """True for those rows, and false or null for others: as it stands, scans can push it down."""
         if not self.first:
-            return condition
+            return compile_filter(self.source, self.filter)
+        # the first one is found by a scalar subquery, one partial minimum per task
         place = F.struct(*[column(s) for s in self.seq]) if len(self.seq) > 1 else column(self.seq[0])
-        least = self.source.filter(condition).agg(F.min(place).alias("least")).scalar()
-        return F.coalesce(place == least, F.lit(False))
+        least = self.source.filter(compile_filter(self.source, self.filter)).agg(F.min(place).alias("least")).scalar()
+        return place == least
+
+    def matched(self) -> Column:
+        """Whether a row is one of those, for projections."""
+        return F.coalesce(self._condition(), F.lit(False))
+
+    def rows(self) -> DataFrame:
+        """Those rows. Of several, the first also passes the filter itself, so that it reaches the scan as well."""
+        found = self.source.filter(compile_filter(self.source, self.filter)) if self.first else self.source
+        return found.filter(self._condition())
 
     def update(self, update: Mapping) -> DataFrame:
         """All rows after the update."""
@@ -175,20 +184,13 @@ class Change:
         differs = F.lit(False)
         for name, (c, t) in new.items():
             differs = differs | (~c.eqNullSafe(_cast(column(name), old[name], t)) if name in old else c.isNotNull())
-        rows = self.source.filter(self.matched()).select(differs.alias("differs"))
+        rows = self.rows().select(differs.alias("differs"))
         return rows.agg(F.count(F.lit(1)).alias("matched_count"), F.count(F.when(F.col("differs"), 1)).alias("modified_count"))
 
     def upsert(self, update: Mapping) -> DataFrame:
         """All rows after the update, and the seeded one if none matches."""
         after = self.update(update)
-        doc = seed(self.filter)
-        for path, v in update.get("$set", {}).items():
-            _assign(doc, path, v)
-        for path in update.get("$unset", {}):
-            _discard(doc, path)
-        for path, n in update.get("$inc", {}).items():
-            _assign(doc, path, n + (_lookup(doc, path) or 0))
-        return after.unionByName(self._absent(after, doc))
+        return after.unionByName(self._absent(after, changed(seeded(self.filter), update)))
 
     def _absent(self, after: DataFrame, doc: Mapping) -> DataFrame:
         spark = self.source.sparkSession
@@ -215,7 +217,7 @@ class Change:
 
     def images(self, after: DataFrame | None = None) -> DataFrame:
         """The matching rows as they are before the change; with ``after``, the same rows in it."""
-        before = self.source.filter(self.matched())
+        before = self.rows()
         if after is None:
             return before
         return after.join(before.select(*self.seq), list(self.seq), "left_semi").select(*[column(n) for n in after.columns])
@@ -235,43 +237,3 @@ def _cast(c: Column, old: T.DataType, new: T.DataType) -> Column:
 def check_replacement(replacement: Mapping) -> None:
     if not isinstance(replacement, Mapping) or any(isinstance(k, str) and k.startswith("$") for k in replacement):
         raise InvalidDocument("a replacement is a document without operators")
-
-
-def seed(filter: Mapping | None) -> dict:
-    """The document that an upsert starts from: the filter's plain equalities."""
-    doc: dict = {}
-    for key, v in (filter or {}).items():
-        if key.startswith("$"):
-            continue
-        if isinstance(v, Mapping):
-            if not (is_operators(v) and list(v) == ["$eq"]):
-                continue
-            v = v["$eq"]
-        _assign(doc, key, v)
-    return doc
-
-
-def _assign(doc: dict, path: str, v: Any) -> None:
-    *parents, last = path.split(".")
-    for p in parents:
-        if not isinstance(doc.get(p), dict):
-            doc[p] = {}
-        doc = doc[p]
-    doc[last] = v
-
-
-def _lookup(doc: Mapping, path: str) -> Any:
-    for p in path.split("."):
-        if not isinstance(doc, Mapping) or p not in doc:
-            return None
-        doc = doc[p]
-    return doc
-
-
-def _discard(doc: dict, path: str) -> None:
-    *parents, last = path.split(".")
-    for p in parents:
-        doc = doc.get(p)
-        if not isinstance(doc, dict):
-            return
-    doc.pop(last, None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,6 +32,10 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at()) if folders is None or s.isDirectory() == folders)
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self._fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
     def read(self, name: str) -> bytes:
         stream = self._fs.open(self._at(name))
         try:

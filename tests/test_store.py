@@ -1,9 +1,11 @@
 """Collections: the same cases from the manifest alone and from segments."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquire import DocStore, DuplicateKeyError, InvalidDocument, InvalidUpdateDocument, ObjectId, OperationFailure, UnsupportedType, decode, encode
 from docquire import store as store_module
+from docquire.functions.bson import bson_from_json
 
 
 @pytest.fixture(params=["inline", "segments"])
@@ -48,6 +50,15 @@ def test_records(coll):
     assert decode(coll.record(0))["i"] == 0 and coll.record(1) is None and coll.next_live(0) == 2 and coll.next_live(3) is None
     with pytest.raises(LookupError):
         coll.record(99)
+    rows = coll._spark.range(6).repartition(3).select((F.col("id") + 10).alias("i"))
+    assert coll.insert_frame(rows.select(bson_from_json(F.to_json(F.struct("i"))).alias("doc"))) == 6
+    assert coll.stats()["records"] == 10 and coll.stats()["live"] == 9
+    numbers = [r[0] for r in coll.frame().select("_seq").collect()]
+    assert all(coll.record(n) for n in numbers) and decode(coll.record(max(numbers)))["i"] >= 10
+    with pytest.raises(LookupError):
+        coll.record(max(numbers) - 1 if max(numbers) - 1 not in numbers else max(numbers) + 1)
+    coll.delete_many({"i": {"$gte": 10}})
+    assert coll.record(max(numbers)) is None
     assert [d["i"] for d in coll.range("i", 0, 3, with_low=False)] == [2, 3] and len(coll.range("i").to_list()) == 3
 
 
@@ -135,6 +146,63 @@ def test_indexes(coll):
     assert coll.list_indexes() == []
 
 
+def test_indexed_reads(spark, tmp_path):
+    """Equalities and ranges on an index reach the scan and change no result, for keys of all kinds and lists on the way."""
+    c = DocStore(spark, str(tmp_path / "i")).d.c
+    c.create_index("u"), c.create_index("a.b")
+    docs = [{"u": v} for v in (1, 1.0, True, None, 2.5, 1 << 60, (1 << 60) + 1, -3)] + [{}] + [{"a": {"b": 5}}, {"a": [{"b": 5}, {"b": 6}]}, {"a": {"b": None}}, {"u": 7, "a": {"b": True}}]
+    rows = spark.createDataFrame([(i, bytearray(encode({"i": i, **d}))) for i, d in enumerate(docs)], "n int, doc binary")
+    plain = DocStore(spark, str(tmp_path / "p")).d.c
+    c.insert_frame(rows, order=["n"]), plain.insert_frame(rows, order=["n"])
+    filters = [{"u": v} for v in (1, True, None, 2.5, 1 << 60, "x", 99)] + [{"a.b": 5}, {"a.b": None}, {"a.b": {"$gt": 4}}, {"u": {"$gt": 1, "$lte": 1 << 60}}, {"u": {"$gte": (1 << 60) + 1}}, {"u": {"$ne": 1}}, {"$or": [{"u": 1}, {"a.b": 5}]}, {"u": {"$lt": 0}, "i": 7}]
+    for compacted in (False, True):
+        for f in filters:
+            assert [d["i"] for d in c.find(f)] == [d["i"] for d in plain.find(f)], f
+        plan = c.plan({"u": 1})._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [Or(EqualTo(key_" in plan
+        assert "GreaterThanOrEqual(num_" in c.plan({"u": {"$gt": 1}})._jdf.queryExecution().executedPlan().toString()
+        c.compact()
+
+
+def test_bulk_inserts_check_unique_indexes(spark, tmp_path):
+    c = DocStore(spark, str(tmp_path / "b")).d.c
+    c.create_index("u", unique=True)
+    frame = lambda keys: spark.createDataFrame([(bytearray(encode({"u": k})),) for k in keys], "doc binary")
+    assert c.insert_frame(frame(range(5))) == 5
+    c.insert_one({"u": 10})
+    for bad in ([7, 7], [8, 3], [10], [8, 3.0]):
+        with pytest.raises(DuplicateKeyError):
+            c.insert_frame(frame(bad))
+    with pytest.raises(UnsupportedType):
+        c.insert_frame(frame([11, "text"]))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bulk", "")
+    assert len(c.insert_many([{"u": 100 + i} for i in range(20)]).inserted_ids) == 20
+    assert len(jobs.getJobIdsForGroup("bulk")) < 6
+    with pytest.raises(DuplicateKeyError):
+        c.insert_many([{"u": 300}, {"u": 4}, {"u": 301}], ordered=False)
+    assert c.count_documents({"u": {"$gte": 300}}) == 2 and c.estimated_document_count() == 28
+
+
+def test_readers_outlive_compaction(spark, tmp_path):
+    c = DocStore(spark, str(tmp_path / "r")).d.c
+    rows = spark.createDataFrame([(i, bytearray(encode({"i": i}))) for i in range(9)], "n int, doc binary")
+    c.insert_frame(rows, order=["n"])
+    opened = c.frame("i int")
+    c.delete_many({"i": 3})
+    c.compact()
+    assert opened.count() == 9 and c.count_documents() == 8
+    for i in range(store_module.KEPT + 1):
+        c.insert_one({"i": 100 + i})
+    names = c._folder.names()
+    assert sum(n.startswith("segment") for n in names) == 1 and not any(n.startswith("tombstones") for n in names)
+    c._folder.publish("segment-of-a-dead-writer.parquet", b"x")
+    c.vacuum()
+    assert "segment-of-a-dead-writer.parquet" in c._folder.names()
+    c.vacuum(0)
+    assert len(c._folder.names()) == 2 and c.count_documents() == 8 + store_module.KEPT + 1
+
+
 def test_catalogue_and_bulk(spark, tmp_path):
     with DocStore(spark, str(tmp_path / "s")) as s:
         assert s.list_database_names() == []
