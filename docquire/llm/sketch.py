@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import splitmix
-from .common import free, settle
+from .common import free, portions, settle
 
 U = np.uint64
 #: Rows of a sketch, and the most cells of a row of one that is broadcast: at most 32 MB reach an executor's worker.
@@ -25,6 +25,8 @@ DEPTH, MOST_CELLS = 2, 1 << 27
 #: Cells of a row of a shard, and documents of a chunk, if there are shards.
 SHARD_CELLS, CHUNK = 1 << 23, 1024
 BLOCK = 1 << 20
+#: Bytes of the texts that are looked at together; a longer one is looked at alone.
+TOGETHER = 3 << 20
 
 Keys = Callable[[pa.Array], np.ndarray]
 Test = Callable[[np.ndarray], np.ndarray]
@@ -71,7 +73,8 @@ def _merged(source: DataFrame, keys_of: Keys, cells: int) -> np.ndarray:
 
         sketch, press = Sketch(cells), zstd.ZstdCompressor(level=1)
         for batch in batches:
-            sketch.add(keys_of(batch.column("text")))
+            for some in portions(batch, "text", TOGETHER):
+                sketch.add(keys_of(some.column("text")))
         part = TaskContext.get().partitionId()
         for row in range(DEPTH):
             for b in range(0, cells >> 3, block):
@@ -171,7 +174,8 @@ def scan_repeated(source: DataFrame, keys_of: Keys, scan, schema: str, bytes_per
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sketch.value
         for batch in batches:
-            yield from scan(batch, lambda keys: repeated(twice, keys))
+            for some in portions(batch, "text", TOGETHER):
+                yield from scan(some, lambda keys: repeated(twice, keys))
 
     out = settle(source.mapInArrow(scanned, schema), "scanned")
     sketch.unpersist()
