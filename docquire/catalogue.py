@@ -7,20 +7,20 @@ their orders (``d``) are derived, alike in Spark and in SQL.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import DuplicateKeyError
-from .functions.bson import bson_from_json, bson_is_valid, bson_to_json
-from .functions.objectid import object_id, object_id_time
-from .operators.constraints import clustered, unique_violations
+from .errors import DocumentError, DuplicateKeyError
+from .functions.bson import bson_from_json, bson_is_valid, bson_to_json, decode, utf8_is_valid
+from .functions.objectid import object_id, object_id_from_hex, object_id_hex, object_id_time
+from .operators.constraints import unique_violations
 from .operators.distinct import distinct
 from .operators.find import Find
 from .operators.update import Change
+from .sources.storage import shared_dir
 from .store import Collection, DocStore
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "events": "event_id", "embeddings": "vec_id", "labels": "doc_id"}
@@ -123,7 +123,15 @@ _of_d("array_broadcast", {"os.p": {"$gt": 490000}}, "len(list_filter(os, lambda
 _of_d("array_two_ops", {"os.p": {"$gt": 450000, "$lt": 20000}}, "len(list_filter(os, lambda x: x.p > 450000)) > 0 AND len(list_filter(os, lambda x: x.p < 20000)) > 0")
 _of_d("array_index", {"os.0.p": {"$lt": 50000}}, "os[1].p < 50000")
 _of_d("array_neg_index", {"sts.-1": "F"}, "sts[-1] = 'F'")
-_of_d("array_document", {"os": {"k": 7, "p": 0.5}}, "len(list_filter(os, lambda x: x.k = 7 AND x.p = 0.5)) > 0")
+
+
+def _holding(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers that have a document among their orders, its fields given in another order."""
+    price = _read(spark, sf, "orders").filter("o_orderkey = 7").first()["o_totalprice"]
+    return Find(_d(spark, sf), ("_id",), filter={"os": {"p": price, "k": 7}}).frame().select("_id")
+
+
+_add("array_document", f"{D_SQL}SELECT _id FROM d, (SELECT o_totalprice AS q FROM orders WHERE o_orderkey = 7) WHERE len(list_filter(os, lambda x: x.k = 7 AND x.p = q)) > 0", _holding)
 _add("embedding_any_gt", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.35::DOUBLE)) > 0", _find("embeddings", filter={"embedding": {"$gt": 0.35}}, columns=["vec_id"]))
 _add("project_include", "SELECT c_name, c_acctbal, c_custkey AS _id FROM customer", _find(_customer, project=["c_name", "c_acctbal"]))
 _add("project_exclude", "SELECT c_custkey AS _id, c_nationkey, c_acctbal, c_mktsegment FROM customer", _find(_customer, project={"c_name": 0}))
@@ -152,7 +160,6 @@ def _props(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("filter_dot_path", "SELECT event_id, user_id FROM events WHERE CAST(props->>'$.k' AS INT) >= 50", _props)
 _add("count_documents", f"{O_SQL}SELECT count(*) AS n FROM o WHERE st = 'F'", lambda s, d: Find(_o(s, d), ("_id",), filter={"st": "F"}).count())
-_add("estimated_count", "SELECT count(*) AS n FROM lineitem", lambda s, d: Find(_read(s, d, "lineitem"), ("l_orderkey",)).count())
 _add("distinct_scalar", f"{O_SQL}SELECT DISTINCT prio AS value FROM o", lambda s, d: distinct(_o(s, d), "prio"))
 _add("distinct_array", f"{D_SQL}SELECT DISTINCT unnest(sts) AS value FROM d", lambda s, d: distinct(_d(s, d), "sts"))
 _add("distinct_filtered", f"{O_SQL}SELECT DISTINCT st AS value FROM o WHERE price > 400000", lambda s, d: distinct(_o(s, d), "st", {"price": {"$gt": 4e5}}))
@@ -194,19 +201,28 @@ _add(
     _change(_table("part"), {"p_size": 1}, lambda c: c.images(c.update({"$inc": {"p_size": 1}})).select("p_partkey", "p_size"), first=True, seq="p_partkey"),
 )
 _add("find_one_and_delete", f"{O_SQL}SELECT * FROM o WHERE st = 'F' ORDER BY _id LIMIT 1", _change(_o, {"st": "F"}, lambda c: c.images(), first=True))
-_add("find_one_and_replace", "SELECT * FROM nation WHERE n_nationkey = 3", _change(_table("nation"), {"n_nationkey": 3}, lambda c: c.images(), first=True, seq="n_nationkey"))
+_add(
+    "find_one_and_replace",
+    "SELECT 'before' AS image, n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'after', n_nationkey, 'NEW', NULL FROM nation WHERE n_nationkey = 3",
+    _change(
+        _table("nation"), {"n_nationkey": 3}, first=True, seq="n_nationkey",
+        do=lambda c: c.images().select(F.lit("before").alias("image"), "*").unionByName(c.images(c.replace({"n_name": "NEW"}, id_col="n_nationkey")).select(F.lit("after").alias("image"), "*")),
+    ),
+)
 _add("unique_violations", "SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1", lambda s, d: unique_violations(_read(s, d, "orders"), "o_custkey"))
-_add("index_equality", "SELECT * FROM orders WHERE o_custkey = 77", lambda s, d: Find(clustered(_read(s, d, "orders"), "o_custkey"), ("o_orderkey",), filter={"o_custkey": 77}).frame())
 
 
 def _as_bson(df: DataFrame) -> DataFrame:
     return df.withColumn("doc", bson_from_json(F.to_json(F.struct(*df.columns))))
 
 
+def _store(spark: SparkSession) -> DocStore:
+    """A new store in the folder that all executors share."""
+    return DocStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
 def _collection(spark: SparkSession) -> Collection:
-    """A new collection in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquire-")
-    return DocStore(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}").db.coll
+    return _store(spark).db.coll
 
 
 def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,6 +271,125 @@ def _indexes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x["name"], x["unique"]) for x in coll.list_indexes()], "name string, is_unique boolean")
 
 
+def _filled(spark: SparkSession, sf: str, name: str, key: str, *fields: str, index: str | None = None) -> Collection:
+    """A collection of a table's rows in the order of a key."""
+    df, coll = _read(spark, sf, name), _collection(spark)
+    if index:
+        coll.create_index(index)
+    coll.insert_frame(_as_bson(df.select(*fields) if fields else df), order=[key])
+    return coll
+
+
+def _estimated(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(_filled(spark, sf, "customer", "c_custkey", "c_custkey").estimated_document_count(),)], "n long")
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """An equality on an index that the stored layout is clustered by."""
+    coll = _filled(spark, sf, "orders", "o_orderkey", "o_orderkey", "o_custkey", "o_totalprice", index="o_custkey")
+    coll.compact()
+    return coll.plan({"o_custkey": 77}).select(F.from_json(bson_to_json(F.col("doc")), "o_orderkey long, o_custkey long, o_totalprice double").alias("d")).select("d.*")
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """The next live record after some are deleted, read by its number, and the counters."""
+    coll = _filled(spark, sf, "nation", "n_nationkey")
+    coll.delete_many({"n_nationkey": {"$lt": 5}})
+    doc, stats = decode(coll.record(coll.next_live())), coll.stats()
+    return spark.createDataFrame([(doc["n_name"], stats["live"], stats["records"])], "n_name string, live long, records long")
+
+
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of a store's databases and collections after some are dropped."""
+    with _store(spark) as store:
+        for database, name in (("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")):
+            store[database][name].insert_one({"i": 1})
+        store.a.drop_collection("y"), store.drop_database("c"), store.b.z.drop()
+        store.b.u.insert_one({})
+        rows = [(d, c) for d in store.list_database_names() for c in store[d].list_collection_names()]
+    return spark.createDataFrame(rows, "database string, collection string")
+
+
+def _ordered_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """An ordered insert ends at a duplicate key and keeps what came before."""
+    coll = _collection(spark)
+    coll.create_index("r_name", unique=False), coll.drop_index("r_name")
+    coll.create_index("r_regionkey", unique=True)
+    rows = [r.asDict() for r in _read(spark, sf, "region").orderBy("r_regionkey").collect()]  # 5 rows
+    coll.insert_one(rows[0])
+    try:
+        coll.insert_many([*rows[1:3], rows[0], *rows[3:]])
+    except DuplicateKeyError:
+        pass
+    return coll.frame("r_regionkey int, r_name string").drop("_seq")
+
+
+def _no_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    coll = _collection(spark)
+    coll.create_index("a"), coll.create_index([("b", -1)]), coll.create_index("c", unique=True)
+    coll.drop_index("b")
+    left = [x["name"] for x in coll.list_indexes()]
+    coll.drop_indexes()
+    return spark.createDataFrame([(left, len(coll.list_indexes()))], "names array<string>, n int").select(F.explode("names").alias("name"), "n")
+
+
+def _cursor(spark: SparkSession, sf: str) -> DataFrame:
+    """A cursor read, rewound and cloned with another projection gives the same documents."""
+    cursor = _filled(spark, sf, "nation", "n_nationkey").find().sort("n_name", -1)
+    first = cursor.to_list(4)
+    again = cursor.rewind().to_list(4)
+    names = cursor.clone().projection(["n_name"]).to_list(4)
+    return spark.createDataFrame([(a["n_nationkey"], b["n_regionkey"], *c.values()) for a, b, c in zip(first, again, names, strict=True)], "n_nationkey int, n_regionkey int, n_name string")
+
+
+def _reopened(spark: SparkSession, sf: str) -> DataFrame:
+    """What a store wrote, another handle of it reads."""
+    coll = _filled(spark, sf, "region", "r_regionkey")
+    coll.update_one({"r_regionkey": 2}, {"$set": {"r_name": "NEW"}})
+    return DocStore(spark, coll.database.store.path).db.coll.frame("r_regionkey int, r_name string").drop("_seq")
+
+
+def _rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters and updates are checked as a whole, whatever the documents hold."""
+    coll, rows = _collection(spark), []
+    cases = {
+        "filter operator": lambda: coll.find({"a": {"$near": 1}}), "filter list": lambda: coll.find({"$or": {"a": 1}}), "update operator": lambda: coll.update_one({}, {"$push": {"a": 1}}),
+        "update empty": lambda: coll.update_many({}, {}), "update number": lambda: coll.update_one({}, {"$inc": {"a": "1"}}), "replacement": lambda: coll.replace_one({}, {"$set": {"a": 1}}), "fine": lambda: coll.find({"a": {"$in": [1]}}),
+    }
+    for name, run in cases.items():
+        try:
+            run()
+            rows.append((name, False))
+        except DocumentError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, rejected boolean")
+
+
+def _object_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids to hexadecimal digits and back, with their order among all ids."""
+    ids = _read(spark, sf, "region").select("r_regionkey", object_id(F.col("r_regionkey") * 1000, F.col("r_regionkey")).alias("id"))
+    back = object_id_from_hex(object_id_hex(F.col("id")))
+    below = ids.alias("a").join(F.broadcast(ids.alias("b")), F.col("b.id") < F.col("a.id"), "left").groupBy("a.r_regionkey").agg(F.count("b.id").alias("below"))  # 5 rows
+    return ids.select("r_regionkey", F.substring(object_id_hex(F.col("id")), 1, 8).alias("seconds"), (back == F.col("id")).alias("same")).join(below, "r_regionkey")
+
+
+def _utf8(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    broken = F.when(F.col("doc_id") % 3 == 0, F.concat(raw, F.unhex(F.lit("C0AF")))).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EDA080")), raw)).otherwise(raw)
+    return _read(spark, sf, "documents").select("doc_id", utf8_is_valid(broken).alias("valid"))
+
+
+_add("estimated_count", "SELECT count(*) AS n FROM customer", _estimated)
+_add("index_equality", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 77", _indexed)
+_add("record_read", "SELECT n_name, CAST(20 AS BIGINT) AS live, CAST(25 AS BIGINT) AS records FROM nation WHERE n_nationkey = 5", _records)
+_add("drop_collections", "SELECT * FROM (VALUES ('a', 'x'), ('b', 'u')) AS t(database, collection)", _names)
+_add("insert_many_ordered", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3", _ordered_insert)
+_add("drop_indexes", "SELECT * FROM (VALUES ('a_1', 0), ('c_1', 0)) AS t(name, n)", _no_indexes)
+_add("cursor_rewind", "SELECT n_nationkey, n_regionkey, n_name FROM nation ORDER BY n_name DESC LIMIT 4", _cursor)
+_add("store_reopen", "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'NEW' ELSE r_name END AS r_name FROM region", _reopened)
+_add("validation", "SELECT * FROM (VALUES ('filter operator', TRUE), ('filter list', TRUE), ('update operator', TRUE), ('update empty', TRUE), ('update number', TRUE), ('replacement', TRUE), ('fine', FALSE)) AS t(name, rejected)", _rejected)
+_add("objectid_hex", "SELECT r_regionkey, printf('%08x', r_regionkey * 1000) AS seconds, TRUE AS same, CAST(r_regionkey AS BIGINT) AS below FROM region", _object_ids)
+_add("utf8_validate", "SELECT doc_id, doc_id % 3 = 2 AS valid FROM documents", _utf8)
 _add("bson_roundtrip", "SELECT * FROM customer", _roundtrip)
 _add("bson_validate", "SELECT count(*) AS n FROM orders", lambda s, d: _as_bson(_read(s, d, "orders").select("o_orderkey", "o_totalprice")).filter(bson_is_valid(F.col("doc"))).agg(F.count(F.lit(1)).alias("n")))
 _add(

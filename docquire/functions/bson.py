@@ -239,3 +239,8 @@ bson_is_valid = _column(is_valid, "boolean")
 #: BSON to JSON text and back; object ids, bytes, times and odd doubles are tagged documents.
 bson_to_json = _column(lambda b: None if b is None else json.dumps(_plain(decode(b)), ensure_ascii=False), "string")
 bson_from_json = _column(lambda t: None if t is None else encode(_tagged(json.loads(t))), "binary")
+
+
+def utf8_is_valid(c: Column) -> Column:
+    """Whether bytes are valid UTF-8, without overlong forms, surrogates and what lies beyond U+10FFFF; null for null."""
+    return F.is_valid_utf8(c.cast("string"))

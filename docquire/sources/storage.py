@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import time
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Only with a local master that names none, a folder of this machine is used."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docquire-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")

@@ -83,3 +83,17 @@ def test_bad_updates(table):
             c.update(bad)
     with pytest.raises(InvalidDocument):
         c.replace({"$set": {"a": 1}})
+
+
+def test_filters_of_changes_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(100).selectExpr("id AS _id", "id % 7 AS k", "CAST(id AS STRING) AS s").write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,3)" in plan(Change(df, ("_id",), {"k": 3}).images())
+    one = Change(df, ("_id",), {"k": 3}, first=True)
+    assert plan(one.images()).count("EqualTo(k,3)") >= 2 and "EqualTo(k,3)" in plan(one.update({"$set": {"s": "x"}}))
+    assert [r._id for r in one.images().collect()] == [3] and one.result({"$set": {"s": "x"}}).first().matched_count == 1
+    assert one.update({"$set": {"s": "x"}}).filter("s = 'x'").count() == 1 and one.delete().count() == 99
+    after = one.images(one.update({"$inc": {"k": 5}})).collect()
+    assert [(r._id, r.k) for r in after] == [(3, 8)]
