@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, settle, small, table, word_count
 
 
-def mix_key(doc_id: Column, seed: str) -> Column:
-    """60 random bits that depend on the seed and the id alone."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def mix_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 random bits that depend on the seed and the id; where there is none, on the text, so that rows without ids don't meet in one range."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("").cast("binary")))))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -74,7 +74,7 @@ def mix(
     then a struct ``row`` of the ``carry`` columns.
 
     Null texts and texts without words have size 0 and are taken 0 times. A null source is
-    a source like any other, last in order. Ties of the key (equal or null ids) are ordered by
+    a source like any other, last in order. Ties of the key (equal ids, or equal texts without ids) are ordered by
     size and text hash; wholly equal rows are interchangeable. An empty table gives
     no rows. Other columns are ignored unless carried, so their names never clash.
     """
@@ -83,7 +83,7 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(text_col)).alias("tie"),
-        mix_key(F.col(id_col), seed).alias("key"),
+        mix_key(F.col(id_col), F.col(text_col).cast("binary"), seed).alias("key"),
         *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []),
     )
     sized = settle(source.drop("row"), "mix-sizes")
@@ -152,7 +152,7 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key
   FROM documents),
 stats AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

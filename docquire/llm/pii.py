@@ -166,7 +166,7 @@ def _is_kind(i: int):
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, level: float = 0.05) -> DataFrame:
     """The personal data of each document.
 
-    Returns one row per input row: ``doc_id, key`` (hash of the text), ``n_email, n_ip, n_card, n_phone, base_sha256, spans`` and ``found``, the
+    Returns one row per input row: ``doc_id, key`` (hash of the text), ``n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans`` and ``found``, the
     spans as an array of (start, kind, end) in code points. Terms inside base spans are not listed again.
     Null texts are empty; empty texts have no spans; a null id is kept. Repeated rows get equal rows. An empty table gives none. Only the named columns are read.
     """
@@ -192,12 +192,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *[F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)],
         F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
         joined("found").alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
         "found",
     )
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with every span of its texts generalised to its kind, as in ``<EMAIL>``; overlapping spans become one."""
+    """``docs`` with every span of its texts generalised to its kind, as in ``<EMAIL>``; overlapping spans become one.
+
+    Null texts stay null, empty ones empty. Repeated rows stay as many. An empty table stays empty.
+    """
     found = personal_data(docs, id_col, text_col, **how).filter(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("found").alias("_found")).dropDuplicates(["_id", "_key"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (text_key(text) == found["_key"]), "left")

@@ -14,6 +14,8 @@ fingerprints (64 bits for filters, 96 for decisions) instead of ranks in a merge
 They are sums over mixed runs of GRAM bytes, which no arrangement of letters cancels out.
 
 What is equal within a batch is settled there, and one of each goes on; so no name has more rows than there are batches.
+
+Shorter passages that documents share, and that stay, are told as well: the beginnings of the cores that other documents have too.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .sketch import MOST_CELLS, SHARD_CELLS, Test, named, scan_repeated
 U = np.uint64
 #: Bytes of a repeat; a cut at one in CUT positions by the hash of GRAM bytes; windows farther than REACH before a cut are single.
 SIZE, GRAM, CUT, REACH, BLOCK = 400, 8, 64, 383, 48
+#: Bytes of a passage that is told if documents share it.
+SHARED = 256
 #: Of the sketch.
 BYTES_PER_KEY, CELLS_PER_KEY = BLOCK // 2, 4
 
@@ -55,18 +59,21 @@ class Names:
 
 
 class Cuts:
-    """The blocks of one text: ``lo`` and ``hi``, first and last window start; ``core``, where the core begins; ``far``, the other window starts."""
+    """The blocks of one text: ``lo`` and ``hi``, first and last start of its windows of ``size`` bytes, none if ``hi`` is less; ``core``, where the core begins;
+    and ``far``, the starts of all other windows. A block of shorter windows has its core's first ``head`` bytes in all of them."""
 
     def __init__(self, data: np.ndarray, size: int):
-        self.data, self.size, last = data, size, len(data) - size
+        self.data, self.size, last, shared = data, size, len(data) - size, min(SHARED, size)
         self.lo = self.hi = self.first = self.core = self.far = np.zeros(0, np.int64)
-        if last < 0:
+        self.block = min(BLOCK, size // 2)
+        self.head = shared - min(self.block, shared // 2) + 1
+        if len(data) < shared:
             return
-        reach, self.block = min(REACH, size - GRAM), min(BLOCK, size // 2)
+        reach = min(REACH, size - GRAM)
         self.names = Names(data, B.BYTE_ROLL)
         at = np.flatnonzero(B.splitmix(self.names.values) % U(CUT) == 0)
         before = np.concatenate([[-1], at[:-1]]) if len(at) else at
-        lo, hi = np.maximum(np.maximum(before + 1, at - reach), 0), np.minimum(at, last)
+        lo, hi = np.maximum(np.maximum(before + 1, at - reach), 0), np.minimum(at, len(data) - shared)
         # windows between the cut before and the reach of this one, and those after the last cut
         start = np.concatenate([before + 1, [at[-1] + 1 if len(at) else 0]])
         end = np.minimum(np.concatenate([at - reach - 1, [last]]), last)
@@ -81,13 +88,15 @@ class Cuts:
         count = high - low + 1
         who = np.repeat(np.arange(len(at)), count)
         k = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        self.lo, self.hi = np.maximum(lo[who], at[who] - k * self.block - self.block + 1), np.minimum(hi[who], at[who] - k * self.block)
         self.core = at[who] - k * self.block
+        inside = self.core + self.head <= len(data)
+        who, self.core = who[inside], self.core[inside]
+        self.lo, self.hi = np.maximum(lo[who], self.core - self.block + 1), np.minimum(np.minimum(hi[who], self.core), last)
         # an extent that begins right after the cut before takes that cut in, so that an equal extent is cut alike
         self.first = np.where((before[who] >= 0) & (self.lo == before[who] + 1), before[who], self.lo)
 
-    def cores(self) -> np.ndarray:
-        return self.names(self.core, self.core + self.size - self.block + 1) if len(self.core) else np.zeros(0, np.uint64)
+    def heads(self) -> np.ndarray:
+        return self.names(self.core, self.core + self.head) if len(self.core) else np.zeros(0, np.uint64)
 
     def far_names(self) -> np.ndarray:
         return self.names(self.far, self.far + self.size) if len(self.far) else np.zeros(0, np.uint64)
@@ -117,12 +126,25 @@ def _settled(names: tuple[np.ndarray, np.ndarray], place: tuple[np.ndarray, ...]
     return first, several
 
 
+def _least_owner(names: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each name the least owner of an equal one."""
+    _, group = np.unique(names, return_inverse=True)
+    least = np.full(group.max(initial=-1) + 1, len(owner) and owner.max())
+    np.minimum.at(least, group, owner)
+    return least[group]
+
+
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_cells: int = MOST_CELLS, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """What remains of each document.
 
-    Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. A byte goes if a string of ``size`` bytes around it
+    Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared``. A byte goes if a string of ``size`` bytes around it
     also starts anywhere else, in the same document or another. Null texts are empty; texts shorter than ``size`` stay whole.
     Repeated rows of at least ``size`` bytes remove each other. Ids are only carried. An empty table gives no rows. Only the named columns are read.
+
+    ``n_shared`` tells of passages that documents share, shorter ones too, which nothing removes: it counts the bytes in strings of SHARED - BLOCK + 1 bytes
+    that begin BLOCK, or a multiple of it, before a cut of this document and stand at such a place in another. A passage of SHARED bytes that two documents share
+    has one, if there is a cut in its first SHARED - GRAM bytes, as there is in 98 of 100. All bytes of a repeated text count.
+
     A text is processed whole, in about 60 times its bytes of a worker's memory; texts of 2 GB or more are beyond Arrow's arrays.
     """
     if size < 2 * GRAM:
@@ -135,22 +157,27 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = []
         for text in texts:
             cuts = Cuts(_data(text), size)
-            found += [cuts.cores(), cuts.far_names()]
+            found += [cuts.heads(), cuts.far_names()]
         return _flat(found, np.uint64)
 
     def scan(batch: pa.RecordBatch, test: Test) -> Iterator[pa.RecordBatch]:
         n, shas = batch.num_rows, []
         block: list[list] = [[] for _ in range(6)]  # owner, lo, hi, core's name, extent's two names
+        head: list[list] = [[] for _ in range(3)]  # owner, start, name
         far: list[list] = [[] for _ in range(4)]  # owner, start, two names
         for i, text in enumerate(batch.column("text")):
             data = _data(text)
             shas.append(hashlib.sha256(data).hexdigest())
             cuts = Cuts(data, size)
-            cores, single = cuts.cores(), cuts.far_names()
-            k, f = np.flatnonzero(test(cores)), np.flatnonzero(test(single))
+            heads, single = cuts.heads(), cuts.far_names()
+            k, f = np.flatnonzero(test(heads)), np.flatnonzero(test(single))
+            if len(k):
+                for held, x in zip(head, (np.full(len(k), i), cuts.core[k], heads[k].view(np.int64)), strict=True):
+                    held.append(x)
+            k = k[cuts.lo[k] <= cuts.hi[k]]
             if len(k):
-                first, end = cuts.first[k], cuts.hi[k] + size
-                for held, x in zip(block, (np.full(len(k), i), cuts.lo[k], cuts.hi[k], cores[k].view(np.int64), cuts.names(first, end).view(np.int64), _second(data, first, end)), strict=True):
+                first, end, core = cuts.first[k], cuts.hi[k] + size, cuts.core[k]
+                for held, x in zip(block, (np.full(len(k), i), cuts.lo[k], cuts.hi[k], cuts.names(core, core + size - cuts.block + 1).view(np.int64), cuts.names(first, end).view(np.int64), _second(data, first, end)), strict=True):
                     held.append(x)
             if len(f):
                 for held, x in zip(far, (np.full(len(f), i), cuts.far[f], single[f].view(np.int64), _second(data, cuts.far[f], cuts.far[f] + size)), strict=True):
@@ -159,13 +186,17 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sent, sure = _settled((e, e2), (owner, lo))
         whose, w, h, h2 = (_flat(x, t) for x, t in zip(far, (np.int64, np.int32, np.int64, np.int32), strict=True))
         goes, hit = _settled((h, h2), (whose, w))
+        owns, core, name = (_flat(x, t) for x, t in zip(head, (np.int64, np.int32, np.int64), strict=True))
+        _, common = _settled((name,), (owns,))
+        first = owns == _least_owner(name, owns)  # all places of the first document that has a string
         lists = [by_text(x[sent], owner[sent], n) for x in (lo, hi, c, e, e2)] + [by_text(x[sure], owner[sure], n) for x in (lo, hi)]
         lists += [by_text(x[goes], whose[goes], n) for x in (w, h, h2)] + [by_text(w[hit], whose[hit], n)]
+        lists += [by_text(x[first], owns[first], n) for x in (core, name)] + [by_text(core[common], owns[common], n)]
         sizes = pa.array([len(t.as_buffer() or b"") for t in batch.column("text")], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), sizes, pa.array(shas, pa.string()), *lists], names=["doc_id", "name", "n", "sha", *LISTS])
 
-    LISTS = ["lo", "hi", "c", "e", "e2", "slo", "shi", "w", "h", "h2", "sw"]
-    kinds = ["int", "int", "long", "long", "int", "int", "int", "int", "long", "int", "int"]
+    LISTS = ["lo", "hi", "c", "e", "e2", "slo", "shi", "w", "h", "h2", "sw", "hs", "hn", "shared"]
+    kinds = ["int", "int", "long", "long", "int", "int", "int", "int", "long", "int", "int", "int", "long", "int"]
     schema = f"doc_id {kind}, name binary, n long, sha string, " + ", ".join(f"{x} array<{k}>" for x, k in zip(LISTS, kinds, strict=True))
     scanned = scan_repeated(source, keys, scan, schema, BYTES_PER_KEY, CELLS_PER_KEY, most_cells, shard_cells)
     numbered = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), "*"), "cuts")
@@ -192,7 +223,17 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the texts of the documents concerned
     wanted = once.select("rid", "doc_id", "name", F.col("kept").isNull().alias("alone"), F.col("w").isNotNull().alias("far"), "slo", "shi", "sw").join(found, "rid", "left")
     wanted = settle(wanted.filter(F.col("far") | F.coalesce("wlo", "slo", "sw").isNotNull() | F.col("edges").isNotNull()), "wanted")
-    rows = settle(marked.select("rid", "doc_id", "n", "sha", F.col("kept").isNotNull().alias("copy")), "rows")
+    # which heads of cores two documents have; one exchange
+    heads = once.filter(F.col("hs").isNotNull()).select("rid", F.explode(F.arrays_zip("hs", "hn")).alias("x")).select("rid", "x.*")
+    alike = Window.partitionBy("hn")
+    common = heads.select("rid", "hs", (F.min("rid").over(alike) != F.max("rid").over(alike)).alias("two")).filter("two").groupBy("rid").agg(F.collect_list("hs").alias("heads"))
+    rows = marked.select("rid", "doc_id", "n", "sha", F.col("kept").isNotNull().alias("copy"), "shared").join(common, "rid", "left")
+    starts = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<int>")) for c in ("shared", "heads")])))
+    head = Cuts(np.zeros(0, np.uint8), size).head
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    step = lambda a, x: F.struct((x + head).alias("end"), (a["n"] + x + head - F.greatest(a["end"], x)).alias("n"))
+    rows = rows.withColumn("n_shared", F.aggregate(starts, zero, step, lambda a: a["n"])).drop("shared", "heads")
+    rows = settle(rows, "rows")
     free(numbered, copies, found)
     texts = named(source, wanted)
     # by the id too: of many copies of a text only the one that stays is looked at
@@ -249,6 +290,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.col("n")).otherwise(F.col("n_shared")).cast("long").alias("n_shared"),
     )
 
 

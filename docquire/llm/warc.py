@@ -1,9 +1,9 @@
 """Web archives: a writer with revisit records and a reader that salvages damaged files.
 
-Each record is a gzip member of its own. The reader checks the member (its CRC), the
-version line, the headers, the block length and the digest of a full payload. After a
-failed check it searches for the next member, or in a plain file the next version line, that
-holds a valid record, goes on there, and logs the bytes between as a quarantined gap.
+Each record is written as a gzip member of its own. The reader takes members of one or more records and plain records, in any order. It checks a
+member (its CRC), the version line, the headers, the block length and, where they are given, the payload's digest and length. After a
+failed check it searches for the next member or version line that
+holds a valid record, goes on there, and logs the bytes between as a quarantined gap. Records of all types come through; those without HTTP are their own payload.
 
 Archives are rows of a Parquet table (``archive``, ``blob``), which Spark commits atomically in any
 store; ``blob`` is the file, byte for byte.
@@ -27,6 +27,7 @@ from .common import settle, small, table
 
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 4
+GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,7 +80,7 @@ class Damaged(ValueError):
 
 def _headers(raw: bytes) -> dict[str, str]:
     out = {}
-    for line in raw.decode("utf-8", "replace").split("\r\n"):
+    for line in filter(None, raw.decode("utf-8", "replace").split("\r\n")):
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("a header line without a colon")
@@ -100,23 +101,27 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     start, size = end + 4, int(heads["content-length"])
     if data[start + size : start + size + 4] != b"\r\n\r\n":
         raise Damaged("the block doesn't end where it should")
-    block = data[start : start + size]
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    kind, digest = heads.get("warc-type"), heads.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not gap or not kind:
-        raise Damaged("not a record of a page")
-    said = _headers(http.partition(b"\r\n")[2]).get("content-length", "")
-    if kind == "response" and (str(len(payload)) != said or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+    payload, kind, digest, said = data[start : start + size], heads.get("warc-type"), heads.get("warc-payload-digest"), None
+    if not kind:
+        raise Damaged("no record type")
+    if heads.get("content-type", "").startswith("application/http"):
+        http, gap, payload = payload.partition(b"\r\n\r\n")
+        if not gap:
+            raise Damaged("HTTP headers without an end")
+        said = _headers(http.partition(b"\r\n")[2]).get("content-length")
+    whole = kind != "revisit" and "warc-truncated" not in heads
+    if whole and said is not None and said != str(len(payload)):
+        raise Damaged("the payload has another length")
+    if whole and digest is not None and digest[:5] == "sha1:" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest[5:]:
         raise Damaged("the payload differs from its digest")
-    if not said.isdigit():
-        raise Damaged("no payload length")
     number = lambda name: int(heads[name]) if name in heads else None
-    out = {"page_id": number("x-page-id"), "url": heads.get("warc-target-uri"), "record_type": kind, "payload_bytes": int(said), "payload_digest": digest, "refers_to": number("x-refers-to-page-id")}
-    return out | {"payload": payload if kind == "response" else None}, start + size + 4
+    out = {"page_id": number("x-page-id"), "url": heads.get("warc-target-uri"), "record_type": kind, "payload_bytes": len(payload) if whole or not (said or "").isdigit() else int(said)}
+    out |= {"payload_digest": digest and digest.removeprefix("sha1:"), "refers_to": number("x-refers-to-page-id"), "payload": payload if kind != "revisit" else None}
+    return out, start + size + 4
 
 
-def _member(blob: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at ``at``."""
+def _member(blob: bytes, at: int) -> tuple[list[dict], str, int]:
+    """The records in the gzip member at ``at``, why some of it is lost if it is, and the offset after the member."""
     opened = zlib.decompressobj(31)
     try:
         data = opened.decompress(memoryview(blob)[at:])
@@ -124,35 +129,40 @@ def _member(blob: bytes, at: int) -> tuple[dict, int]:
         raise Damaged(f"gzip: {e}") from None
     if not opened.eof:
         raise Damaged("gzip: the member has no end")
-    record, end = parse_record(data)
-    if end != len(data):
-        raise Damaged("more than one record in a member")
-    return record, len(blob) - len(opened.unused_data)
+    found = list(salvage(data, members=False))
+    lost = [x["reason"] for kind, x in found if kind == "gap"]
+    return [x for kind, x in found if kind == "record"], lost[0] if lost else "", len(blob) - len(opened.unused_data)
 
 
-def salvage(blob: bytes) -> Iterator[tuple[str, dict]]:
-    """("record", fields) and ("gap", start / end / reason) in the order of the file."""
-    at, lost, why = 0, None, ""
-    read = _member if blob[:2] == b"\x1f\x8b" or VERSION.search(blob) is None else parse_record
+def salvage(blob: bytes, members: bool = True) -> Iterator[tuple[str, dict]]:
+    """("record", fields) and ("gap", start / end / reason) in the order of the file. A member that is sound but holds damaged records is a gap after its others."""
+    at, lost, why, plain = 0, None, "", -1
     while at < len(blob):
+        zipped = members and blob[at : at + 3] == GZIP
         try:
-            if read is _member and blob[at : at + 3] != b"\x1f\x8b\x08":
-                raise Damaged("no gzip member")
-            record, end = read(blob, at)
+            if zipped:
+                records, inside, end = _member(blob, at)
+                if not records:
+                    raise Damaged(inside or "an empty member")
+            else:
+                (record, end), inside = parse_record(blob, at), ""
+                records = [record]
         except (Damaged, ValueError) as e:
             if lost is None:
                 lost, why = at, str(e)
-            if read is _member:
-                at = blob.find(b"\x1f\x8b\x08", at + 1)
-            else:
-                at = m.start() if (m := VERSION.search(blob, at + 1)) else -1
-            if at < 0:
-                break
+            # the next of both: a member, or a version line
+            if plain <= at:
+                plain = m.start() if (m := VERSION.search(blob, at + 1)) else len(blob)
+            member = blob.find(GZIP, at + 1, plain) if members else -1
+            at = member if member >= 0 else plain
             continue
         if lost is not None:
             yield "gap", {"start": lost, "end": at, "reason": why}
             lost = None
-        yield "record", record
+        for record in records:
+            yield "record", record
+        if inside:
+            yield "gap", {"start": at, "end": end, "reason": inside}
         at = end
     if lost is not None:
         yield "gap", {"start": lost, "end": len(blob), "reason": why}
@@ -223,7 +233,7 @@ def archived_pages(pages: DataFrame, **how) -> DataFrame:
 
     One row per page: ``page_id, payload_bytes, payload_digest, record_type, refers_to``. A null html is the empty
     payload, which is a payload like any other; a null id ranks last and is never referred to by id. Rows that
-    repeat the smallest id of a payload are responses as well. Only the named columns are read. An empty table gives no rows.
+    repeat the smallest id of a payload are responses as well. A page is processed whole, in some four times its bytes of memory. Only the named columns are read. An empty table gives no rows.
     """
     rows = read_archives(write_archives(pages, **how)).filter(~F.col("gap"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

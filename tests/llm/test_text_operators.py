@@ -95,10 +95,32 @@ def test_suffix_dedup_at_the_ends_of_repeats(spark):
     texts = ["a" * 1000, "ab" * 700, "x" * 399, "x" * 400, base, base[100:900] + "Q" + base[1000:1500], base[3000:3401] + "zz" + base[3500:3899], "w" * 500 + base[:450], "".join(rng.choice("ab") for _ in range(2000))]
     texts += [base[a : a + n] for a, n in ((7, 400), (50, 401), (1000, 640), (1600, 399))] + [base[1200:1700] + base[200:700]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup_bytes(df).collect()}
+    got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.dedup_bytes(df).collect()}
     assert [got[i] for i in range(len(texts))] == brute.byte_repeats(texts)
 
 
+def test_shared_passages_are_told(spark):
+    """Passages below the size of what goes are told where documents share them, and a document's own repeats are not."""
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop qrstuvw") for _ in range(n))
+    passages = [text(300) for _ in range(30)]
+    rows = [(i, text(rng.randrange(50, 900)) + passages[i % 30] + text(rng.randrange(50, 900))) for i in range(60)]
+    own = text(350)
+    rows += [(100, own + text(99) + own), (101, text(5000)), (102, text(300)), (103, rows[0][1])]
+    got = {r.doc_id: r for r in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sum(209 <= got[i].n_shared <= 300 for i in range(1, 60)) >= 57 and all(got[i].n_removed == 0 for i in range(1, 60) if i != 30)
+    assert [got[i].n_shared for i in (100, 101, 102)] == [0, 0, 0] and got[0].n_shared == got[0].n_bytes == got[103].n_shared
+    cuts = {i: suffix_dedup.Cuts(np.frombuffer(t.encode(), np.uint8), 400) for i, t in rows}
+    where = defaultdict(set)
+    for i, t in rows:
+        for c in cuts[i].core.tolist():
+            where[t[c : c + cuts[i].head]].add(i)
+    for i, t in rows[1:-1]:
+        assert got[i].n_shared == len({x for c in cuts[i].core.tolist() if len(where[t[c : c + cuts[i].head]]) > 1 for x in range(c, c + cuts[i].head)})
+
+
 def test_substring_dedup(awkward, empty):
     df, rows = awkward
     expected = Counter((r[0], *x) for r, x in zip(rows, brute.windows([r[:2] for r in rows]), strict=True))

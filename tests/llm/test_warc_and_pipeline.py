@@ -55,6 +55,20 @@ def test_salvage(compressed):
     assert list(warc.salvage(b"")) == [] and [k for k, _ in warc.salvage(b"nothing here")] == ["gap"]
 
 
+def test_archives_of_others():
+    """Members of several records, plain records between members, records without HTTP, page number or digest; damage in a sound member."""
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 8\r\n\r\na: b\r\n\r\n\r\n\r\n"
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: 25\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello!\r\n\r\n"
+    parts = [warc.write_record(i, u, (h or "").encode(), digest((h or "").encode())) for i, u, h in PAGES]
+    blob = warc.member(info + parts[0] + parts[1]) + parts[4] + b"junk" + bare + warc.member(parts[7]) + warc.member(parts[0] + b"WARC/1.1\r\nbroken\r\n\r\n" + parts[4]) + parts[7]
+    found = list(warc.salvage(blob))
+    got = [(x["record_type"], x["page_id"]) for k, x in found if k == "record"]
+    assert got == [("warcinfo", None), ("response", 1), ("response", 2), ("response", 5), ("response", None), ("response", 7), ("response", 1), ("response", 5), ("response", 7)]
+    gaps = [(x["end"] - x["start"], x["reason"]) for k, x in found if k == "gap"]
+    assert len(gaps) == 2 and gaps[0][0] == 4 and "colon" in gaps[1][1]
+    assert [x["payload"] for k, x in found if k == "record"][4] == b"hello!"
+
+
 def test_damaged_archives_in_spark(spark):
     parts = archive()
     blob = parts[0] + b"\x00" * 100 + b"".join(parts[1:])
