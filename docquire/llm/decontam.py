@@ -78,7 +78,7 @@ def decontaminate(
 
     Null and empty texts have no words and are never contaminated; items without words
     match nothing; an empty benchmark leaves all clean; repeated rows get equal rows. Only the named columns are read.
-    The windows are broadcast if their measured size is small, else in blocks, each against all documents.
+    The windows are broadcast if their measured size is small, else in blocks, each against all documents. A text is processed whole, as an array of its words.
     """
     text = F.col(text_col)
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), text.alias("text"), lowered_tokens(text).alias("ws"))
@@ -146,7 +146,10 @@ def decontaminate(
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, in all their columns."""
+    """The rows of ``docs`` that are not contaminated, in all their columns.
+
+    Null and empty texts stay. Rows that share id and text stay or go alike. An empty table stays empty, and an empty benchmark leaves all.
+    """
     bad = decontaminate(docs, bench, id_col, text_col, **how).filter("contaminated")
     bad = small(settle(bad.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")), "contaminated"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (text_key(docs[text_col]) == bad["_bad_key"]), "left_anti")

@@ -115,3 +115,72 @@ def base_spans(text):
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 10 <= len(digits(v)) <= 15),
     ]
     return sorted((m.start(), k, name, m.end()) for k, (name, pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text or "") if ok(m.group()))
+
+
+def mix_targets(sizes, weights=(1, 2, 3), most=3):
+    """op1: the target of each source, by sharing again and again what is above the most."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        rest = total - sum(most * sizes[s] for s in full)
+        share = sum(weight[s] for s in order if s not in full)
+        target = {s: most * sizes[s] if s in full else rest * weight[s] / share for s in order}
+        above = {s for s in order if s not in full and target[s] > most * sizes[s]}
+        if not above:
+            return target
+        full |= above
+
+
+def readings(token, options, score):
+    """op6: the value of every reading of a token; ``options`` gives (text, cost) for a character, the one before and the length of its run."""
+    paths, before, run = {"": 0.0}, "", 0
+    for c in token:
+        run, new = (run + 1 if c == before else 1), {}
+        for out, cost in paths.items():
+            for x, y in options(c, before, run):
+                new[out + x] = max(new.get(out + x, float("-inf")), cost + y)
+        paths, before = new, c
+    return {out: cost + score(out) for out, cost in paths.items()}
+
+
+def disclosing(docs, threshold=0.7, level=0.05):
+    """op8: {(row number): {(start, end)}} of disclosing terms; no document has more than one base span."""
+    import math
+
+    import regex
+
+    term = regex.compile(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}")
+    n, held, rest = len(docs), {}, {}
+    for i, (_, t) in enumerate(docs):
+        spans = base_spans(t)
+        assert len(spans) < 2
+        for a, kind, _, b in spans:
+            held[i] = ((kind, t[a:b].lower()), (t[max(0, a - 80) : a], t[b : b + 80]))
+            rest[i] = t[:a] + " " * (b - a) + t[b:]
+    words = {i: {w.lower() for w in term.findall(r)} for i, r in rest.items()}
+    everywhere = Counter(w for _, t in docs for w in {x.lower() for x in term.findall((t or "").lower())})
+    near = Counter(w for ws in words.values() for w in ws)
+    units, of_entity, entity_units, joint, joint_units = defaultdict(set), Counter(), defaultdict(set), Counter(), defaultdict(set)
+    for i, (entity, unit) in held.items():
+        of_entity[entity] += 1
+        entity_units[entity].add(unit)
+        for w in words[i]:
+            units[w].add(unit)
+            joint[entity, w] += 1
+            joint_units[entity, w].add(unit)
+    content = {e: math.log(n / k) for e, k in of_entity.items()}
+    pmi = lambda e, w, k: math.log(n * joint[e, w] / (k * of_entity[e]))
+    tried = [(e, w) for e, w in joint if content[e] > 0 and math.log(n / near[w]) >= threshold * content[e] - 1e-12 and pmi(e, w, near[w]) >= threshold * content[e] - 1e-12]
+    marked = set()
+    for e, w in tried:
+        expected, seen = everywhere[w] * len(entity_units[e]) / n, len(joint_units[e, w])
+        of_pair = seen * (1 + math.log(expected / seen)) - expected if seen > expected else 0.0
+        tries, share = len(units[w]) + max(everywhere[w] - near[w], 0), len(held) / n
+        part = len(units[w]) / tries
+        apart = (1 - part) * math.log((1 - part) / max(1 - share, 1e-300)) if part < 1 else 0.0
+        of_term = -tries * (part * math.log(part / share) + apart) if part > share else 0.0
+        sure = of_pair <= math.log(level / len(tried)) or of_term <= math.log(level / len({w for _, w in tried}))
+        if sure and pmi(e, w, everywhere[w]) >= threshold * content[e] - 1e-12:
+            marked.add((e, w))
+    return {i: {(m.start(), m.end()) for m in term.finditer(rest[i]) if (held[i][0], m.group().lower()) in marked} if i in held else set() for i in range(n)}

@@ -333,6 +333,27 @@ def test_disclosing_terms_far_from_spans(spark):
         assert terms == (["Zorblax", "zorblax"] if r.doc_id < 7 else ["Quirrel"] if r.doc_id < 100 else [])
 
 
+def test_disclosing_terms_by_their_definition(spark):
+    """Random company of terms and entities against the plain computation."""
+    import random
+
+    rng = random.Random(12)
+    vocabulary = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        words = rng.sample(vocabulary, rng.randrange(5, 30))
+        if i % 4 == 0:
+            person = rng.randrange(12)
+            words.insert(rng.randrange(len(words)), f"p{person}@example.org")
+            if rng.random() < 0.9:
+                words.insert(rng.randrange(len(words)), f"Alias{chr(97 + person)}")
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.disclosing(rows)
+    got = {r.doc_id: {(s.start, s.end) for s in r.found if s.kind == 4} for r in pii.personal_data(df).collect()}
+    assert got == want and 50 < sum(map(len, want.values())) < 200
+
+
 def test_tokens(awkward, empty):
     pytest.importorskip("public_tokenizers")
     import public_tokenizers
@@ -402,6 +423,40 @@ def test_restoring_long_and_sparse_disguises():
         assert len(r.forms(same)) == 1
 
 
+def test_decoding_finds_the_best_path():
+    """The lattice's best path against all readings of a token."""
+    import random
+
+    rng = random.Random(3)
+    rows = rng.choices(["idiot", "stupid", "letter", "good", "people", "about", "toad", "seed"], k=3000)
+    classes = toxicity._class_table()
+    s = classes[np.frombuffer(f"  {' '.join(rows)} ".encode("utf-32-le"), "<u4")]
+    counts = np.bincount((s[:-2] * 64 + s[1:-1]) * 64 + s[2:], minlength=64**3).reshape(64, 64, 64).astype(float)
+    model = np.log((counts + 1e-2) / (counts.sum(2, keepdims=True) + 0.64)).astype(np.float32).ravel()
+
+    def options(c, before, run):
+        found = [(c, 0.0)] if c.isalpha() else []
+        if c.isalpha() and c == before:
+            found.append(("", toxicity.DOUBLE if run == 2 else toxicity.LONGER))
+        found += [(x, toxicity.SWAP) for x in toxicity.LOOKALIKES.get(c, "")]
+        if c in toxicity.SEPARATORS or not found:
+            found.append(("", toxicity.DROP))
+        elif c == before and not c.isalpha():
+            found.append(("", toxicity.DOUBLE if run == 2 else toxicity.LONGER))
+        return found
+
+    def score(word):
+        symbols = [0, 0, *(toxicity.INDEX.get(c, toxicity.OTHER) for c in word), 0]
+        return sum(float(model[(a * 64 + b) * 64 + c]) for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False))
+
+    r = toxicity.Restorer(model)
+    for _ in range(300):
+        token = "".join(rng.choice("idotseagl10!3@$.-*67 ".strip()) for _ in range(rng.randrange(1, 8)))
+        values = brute.readings(token, options, score)
+        got = r.decode(token)
+        assert values[got] == pytest.approx(max(values.values()), abs=1e-4), (token, got)
+
+
 def test_toxicity(awkward, empty, spark):
     import random
 
@@ -429,3 +484,36 @@ def test_toxicity(awkward, empty, spark):
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     assert toxicity.clean_documents(df, known).columns == df.columns
     assert toxicity.score(empty, toxicity.fit(empty, nulls)).count() == 0
+
+
+def test_texts_of_megabytes(spark, documents):
+    """One text of some megabytes beside short ones goes through every operator whole."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(50_000)]
+    long = " ".join(rng.choices(words, k=500_000))
+    passage = " ".join(rng.choices(words, k=100))
+    rows = [(1, long + " " + passage, "s"), (2, None, "s"), (3, passage, "s"), (4, "short one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    n = len(rows[0][1].split())
+    got = lambda out: {r.doc_id: r for r in out.collect()}
+    assert got(mixing.mix(df))[1]["size"] == n
+    assert got(quality.quality(df))[1].n_words == n and got(quality.quality(df))[1].kept
+    removed = got(suffix_dedup.dedup_bytes(df))
+    assert (removed[1].n_bytes, removed[1].n_removed, removed[3].n_removed) == (len(rows[0][1]), len(passage), len(passage))
+    left = got(substring_dedup.dedup_windows(df))
+    assert (left[1].n_words, left[1].n_removed, left[3].n_removed) == (n, 0, 100)
+    assert got(near_dup.near_duplicates(df))[1].class_id == 1
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    assert got(toxicity.score(df, toxicity.fit(df, labels)))[1].predicted == 0
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    hit = got(decontam.decontaminate(df, items))
+    assert (hit[1].n_hit, hit[1].contaminated, hit[3].contaminated) == (100, False, True)
+    assert got(pii.personal_data(df))[1].spans == ""
+    ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(rows[0][1], add_special_tokens=False).ids + [1]
+    assert got(tokens.tokenized(df))[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())

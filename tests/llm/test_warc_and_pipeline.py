@@ -2,11 +2,15 @@
 
 import base64
 import hashlib
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from docquire.llm import warc
+from docquire.llm import toxicity, warc
+
+from . import brute
 
 
 def digest(payload):
@@ -79,19 +83,48 @@ def test_damaged_archives_in_spark(spark):
 
 
 def test_pipeline(spark, documents):
+    """Every stage against the plain version of what it decides, on what the stage before it kept."""
     import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    def rows_of(df):
+        return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
+    stages = dict(pipeline.STAGES)
     docs = spark.read.parquet(f"{documents}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
-    for name, stage in pipeline.STAGES[:-1]:
-        docs = pipeline.settle(stage(spark, docs, documents), name)
+    columns, before = docs.columns, rows_of(docs)
+    kept = {}
+    for name in list(stages)[:-1]:
+        docs = pipeline.settle(stages[name](spark, docs, documents), name)
         assert docs.columns == columns
-        counts.append(docs.count())
-    assert counts[1] > 0.8 * counts[0] and counts[2] <= counts[1] and counts[3] <= counts[2]
-    out = pipeline.STAGES[-1][1](spark, docs, documents).collect()
-    assert len(out) == counts[-1]
-    at = 0
-    for r in sorted(out, key=lambda r: r.start):
+        kept[name] = rows_of(docs)
+    toxic = {r.doc_id for r in toxicity.op6_toxicity(spark, documents).filter("predicted = 1").collect()}
+    assert Counter(kept["toxicity"]) == Counter((d, t) for d, t in before if d not in toxic)
+    classes = brute.near_classes(kept["toxicity"])
+    assert Counter(kept["near_duplicates"]) == Counter((d, t) for (d, t), c in zip(kept["toxicity"], classes, strict=True) if d == c)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{documents}/benchmark.parquet").collect()]
+    found = brute.contaminated(kept["near_duplicates"], bench)
+    assert Counter(kept["decontamination"]) == Counter(x for x, f in zip(kept["near_duplicates"], found, strict=True) if not f[-1])
+    # as often as the mix takes them, one cut short in each source
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{documents}/documents.parquet").select("doc_id", "source").collect()}
+    sizes = {d: len(brute.WORD.findall(t or "")) for d, t in kept["decontamination"]}
+    total, by_source = Counter(), Counter()
+    for d, t in kept["mixing"]:
+        total[d] += len(brute.WORD.findall(t))
+        by_source[source[d]] += len(brute.WORD.findall(t))
+    assert all(total[d] <= 3 * sizes[d] for d in total)
+    targets = brute.mix_targets(Counter({s: sum(n for d, n in sizes.items() if source[d] == s) for s in set(source.values())}))
+    assert {s: by_source[s] for s in targets} == {s: int(t + 1e-6) for s, t in targets.items()}
+    partial = Counter(source[d] for d in total if total[d] % max(sizes[d], 1))
+    assert all(n <= 1 for n in partial.values())
+    library, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    out = sorted(stages["tokens"](spark, docs, documents).collect(), key=lambda r: r.start)
+    ids = sorted(((d, np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for d, t in kept["mixing"]), key=lambda x: x[0])
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == Counter((d, len(x), zlib.crc32(x.tobytes())) for d, x in ids)
+    assert [r.doc_id for r in out] == [d for d, _ in ids]
+    for r in out:
         assert r.start == at
         at += r.n_tokens
 
