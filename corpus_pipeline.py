@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: A fitted classifier, minhashes and a tokenizer are beyond SQL; the stages are tested against brute force.
+#: A fitted classifier, minhashes and a tokenizer are beyond SQL; the tests hold every stage against a plain version of what it decides.
 ORACLE_SQL = None
 
 
