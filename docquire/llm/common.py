@@ -25,8 +25,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Largest table, in bytes, that an operator broadcasts; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
-#: Rows and bytes of an Arrow batch while a table is settled: about what a Python worker holds of it at once.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Rows and MB of an Arrow batch while a table is settled: about what a Python worker, and its executor beside the heap, hold of it at once.
+BATCH = (1024, 4)
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -56,11 +56,12 @@ def _file_system(spark: SparkSession, path: str):
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession):
-    """Arrow batches of BATCHES for what runs inside."""
-    before = {k: spark.conf.get(k, None) for k in BATCHES}
+def bounded_batches(spark: SparkSession, rows: int, megabytes: int):
+    """Arrow batches of a size for what runs inside."""
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{megabytes}m"}
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
-        for k, v in BATCHES.items():
+        for k, v in conf.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -68,7 +69,7 @@ def bounded_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+def settle(df: DataFrame, name: str = "t", batch: tuple[int, int] = BATCH) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lineage ends there, so that a lost executor costs no recomputation of what came
@@ -77,7 +78,7 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/docquire-{name}-{uuid.uuid4().hex}"
-    with bounded_batches(spark):
+    with bounded_batches(spark, *batch):
         df.write.option("compression", "zstd").parquet(path)
     at, fs = _file_system(spark, path)
     fs.deleteOnExit(at)

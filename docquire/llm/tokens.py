@@ -40,6 +40,8 @@ MAGIC = b"DQTOKS1\n"
 TRAILER = struct.Struct("<QIII8s")
 SHARD_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
+#: Rows and MB of texts that are encoded together: more share more words.
+BATCH = (2048, 8)
 #: Documents whose ids the dictionary is trained on: those with the smallest id hash.
 DICT_SAMPLE = 256
 #: Characters of each of them; the dictionary changes no result.
@@ -259,7 +261,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key")
     shards = ordered.mapInArrow(packed, "first_id long, first_key long, shard long, n_tokens long, blob binary")
-    return settle(shards, "token-shards"), dictionary
+    return settle(shards, "token-shards", batch=BATCH), dictionary
 
 
 def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
@@ -282,6 +284,7 @@ def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
                 )
 
     rows = shards.select("shard", "blob").mapInArrow(unpacked, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = settle(rows, "token-rows")
     rows = rows.join(small(settle(starts, "token-starts")), "shard")
     return rows.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 

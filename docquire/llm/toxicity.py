@@ -74,7 +74,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["tri", "n"])
 
-    return docs.select(text_col).mapInArrow(count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n"))
+    return settle(docs.select(text_col).mapInArrow(count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")), "characters")
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -298,9 +298,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sizes = dict(sample.groupBy("label").count().collect())
     n_toxic, n_clean = sum(v for k, v in sizes.items() if k > 0), sum(v for k, v in sizes.items() if k <= 0)
-    counts = sample.mapInArrow(counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= min_toxic)
+    counts = settle(counts, "features")
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    strong = counts.filter(F.col("toxic") >= min_toxic).withColumn("weight", odds).filter(F.col("weight") >= float(np.log(20)))
+    strong = counts.withColumn("weight", odds).filter(F.col("weight") >= float(np.log(20)))
     weights = {r["feature"]: r["weight"] for r in strong.collect()}  # each stands in min_toxic of the fit_rows documents
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64()), batch.column("label")], names=["best", "n", "label"])
 
-    rows = sample.mapInArrow(measured, "best double, n long, label int").collect()  # at most fit_rows rows of three numbers
+    rows = settle(sample.mapInArrow(measured, "best double, n long, label int"), "measured").collect()  # at most fit_rows rows of three numbers
     if not rows:
         return Model(characters, weights, np.array([-2.0, 0, 0, 0]))
     rows.sort()
@@ -333,7 +334,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(p, pa.float64())], names=["doc_id", "key", "score"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(scored, source.drop("text").schema.add("score", "double"))
+    out = settle(source.mapInArrow(scored, source.drop("text").schema.add("score", "double")), "scores")
     return out.select("doc_id", "key", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -235,7 +235,7 @@ def archived_pages(pages: DataFrame, **how) -> DataFrame:
     payload, which is a payload like any other; a null id ranks last and is never referred to by id. Rows that
     repeat the smallest id of a payload are responses as well. A page is processed whole, in some four times its bytes of memory. Only the named columns are read. An empty table gives no rows.
     """
-    rows = read_archives(write_archives(pages, **how)).filter(~F.col("gap"))
+    rows = settle(read_archives(write_archives(pages, **how)).filter(~F.col("gap")), "pages")
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
