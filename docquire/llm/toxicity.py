@@ -168,20 +168,19 @@ class Restorer:
             out |= word_features(form)
         return out
 
+    def run_features(self, run: str) -> frozenset[str]:
+        """Features of a run of short tokens without its spaces."""
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) > MOST_TOKENS:
+                self.runs.clear()
+            found = self.runs[run] = frozenset(f for word in self.read_spaced(run) for f in word_features(word))
+        return found
+
     def spaced(self, lower: str) -> set[str]:
-        """Features of runs of short tokens, whose spaces may be part of the disguise."""
-        out = set()
-        for m in set(SPACED.findall(lower)):
-            run = "".join(m.split())
-            if len(run) < 3:
-                continue
-            found = self.runs.get(run)
-            if found is None:
-                if len(self.runs) > MOST_TOKENS:
-                    self.runs.clear()
-                found = self.runs[run] = frozenset(f for word in self.read_spaced(run) for f in word_features(word))
-            out |= found
-        return out
+        """Features of all runs of short tokens, whose spaces may be part of the disguise."""
+        runs = {"".join(m.split()) for m in set(SPACED.findall(lower))}
+        return {f for run in runs if len(run) > 2 for f in self.run_features(run)}
 
 
 def word_features(word: str) -> set[str]:
@@ -192,36 +191,62 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def hopeful(names: set[str]) -> re.Pattern:
+    """What a token must have in it for any of its readings to begin with one of ``names``, or hold it: its characters or
+    their look-alikes in order, with nothing between them but repeats and what is no letter."""
+    likes: dict[str, str] = {}
+    for sign, letters in LOOKALIKES.items():
+        for c in letters:
+            likes[c] = likes.get(c, "") + sign
+    parts = []
+    for name in sorted(names):
+        chars = [re.escape(c + likes.get(c, "")) for c in name]
+        parts.append("".join(f"[{c}]" + (rf"(?:[{c}]|[\W\d_])*" if i + 1 < len(chars) else "") for i, c in enumerate(chars)))
+    return re.compile("|".join(parts) or r"(?!)")
+
+
 class Scorer:
     """Per document: the strongest marker's weight, the number of markers."""
 
-    MOST = 150_000
+    MOST = 100_000
 
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.restorer, self.weights = Restorer(model), weights
+        #: The first letters of all markers; a reading without them has none.
+        self.heads = {f[1 : 1 + PREFIXES[0]] for f in weights}
+        self.hopeful = hopeful(self.heads)
         self.neutral: set[str] = set()
         self.marked: dict[str, frozenset[str]] = {}
 
+    def _marks(self, token: str, features) -> frozenset[str]:
+        found = self.marked.get(token)
+        if found is None:
+            found = frozenset(f for f in features(token) if f in self.weights)
+            if len(self.marked) > self.MOST:
+                self.marked.clear()
+            self.marked[token] = found
+        return found
+
     def __call__(self, text: str | None) -> tuple[float, int]:
         if not text:
             return 0.0, 0
-        lower, marks = text.lower(), set()
-        tokens = set(lower.split())
-        for token in tokens - self.neutral:
-            found = self.marked.get(token)
-            if found is None:
-                found = frozenset(f for f in self.restorer.features(token) if f in self.weights)
-                if not found:
-                    if len(self.neutral) > self.MOST:
-                        self.neutral.clear()
-                    self.neutral.add(token)
+        lower, marks, heads, neutral, search = text.lower(), set(), self.heads, self.neutral, self.hopeful.search
+        for token in set(lower.split()):
+            if token[: PREFIXES[0]] not in heads:
+                if token in neutral:
+                    continue
+                # a plain word is its own only reading
+                if token.isalpha() and not TRIPLE.search(token):
+                    continue
+                if not search(token):
+                    if len(neutral) > self.MOST:
+                        neutral.clear()
+                    neutral.add(token)
                     continue
-                if len(self.marked) > self.MOST:
-                    self.marked.clear()
-                self.marked[token] = found
-            marks.add(found)
-        if spaced := self.restorer.spaced(lower):
-            marks.add(frozenset(f for f in spaced if f in self.weights))
+            marks.add(self._marks(token, self.restorer.features))
+        runs = {"".join(m.split()) for m in set(SPACED.findall(lower))}
+        found = frozenset(f for run in runs if len(run) > 2 and search(run) for f in self._marks(run, self.restorer.run_features))
+        marks.add(found)
         marks.discard(frozenset())
         best = max((max(map(self.weights.get, m)) for m in marks), default=0.0)
         return best, len(marks)
