@@ -28,6 +28,9 @@ BROADCAST_BYTES = 32 << 20
 #: Rows and MB of an Arrow batch while a table is settled: about what a Python worker, and its executor beside the heap, hold of it at once.
 BATCH = (1024, 4)
 
+#: Bytes of freed tables that are worth a collection of the driver's garbage.
+GC_BYTES = 16 << 20
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -88,17 +91,17 @@ def settle(df: DataFrame, name: str = "t", batch: tuple[int, int] = BATCH) -> Da
 
 
 def free(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more, and let go of the shuffle files of jobs that are done."""
-    spark = None
+    """Delete settled tables that nothing reads any more; after large ones, let go of the shuffle files of jobs that are done as well."""
+    size = 0
     for t in tables:
         path = _paths.pop(t, None)
         if path is not None:
-            spark = t.sparkSession
-            at, fs = _file_system(spark, path)
+            at, fs = _file_system(t.sparkSession, path)
+            size += fs.getContentSummary(at).getLength()
             fs.delete(at, True)
             fs.cancelDeleteOnExit(at)
-    if spark is not None:
-        spark.sparkContext._jvm.System.gc()
+    if size >= GC_BYTES:  # Spark's cleaner deletes them when the driver collects its garbage
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def settled_bytes(df: DataFrame) -> int:

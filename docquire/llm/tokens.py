@@ -69,8 +69,8 @@ class WordEncoder:
     PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+$"
     #: Pieces of lowered plain words, and the line feeds between words.
     PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+|\n")
-    #: About 200 bytes each: some 60 MB in a worker when all are held.
-    MOST_PIECES = 300_000
+    #: About 200 bytes each: some 80 MB in a worker when all are held.
+    MOST_PIECES = 400_000
     #: Ids that are put together at a time.
     TOGETHER = 1 << 20
 

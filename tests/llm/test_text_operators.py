@@ -457,6 +457,35 @@ def test_decoding_finds_the_best_path():
         assert values[got] == pytest.approx(max(values.values()), abs=1e-4), (token, got)
 
 
+def test_nothing_hopeful_is_skipped():
+    """The scorer's shortcut gives what decoding every token and run gives."""
+    import random
+
+    rng, letters = random.Random(5), "abdeilmnorstu"
+    words = ["idiot", "stupid", "moron", "ass", "loser", "trash"]
+    rows = rng.choices([*words, "letter", "good", "some", "island", "idea"], k=3000)
+    classes = toxicity._class_table()
+    s = classes[np.frombuffer(f"  {' '.join(rows)} ".encode("utf-32-le"), "<u4")]
+    counts = np.bincount((s[:-2] * 64 + s[1:-1]) * 64 + s[2:], minlength=64**3).reshape(64, 64, 64).astype(float)
+    model = np.log((counts + 1e-2) / (counts.sum(2, keepdims=True) + 0.64)).astype(np.float32).ravel()
+    weights = {f: 1 + rng.random() for w in words for f in toxicity.word_features(w)} | {"=1d10t": 2.0}
+    scorer, plain = toxicity.Scorer(model, weights), toxicity.Restorer(model)
+
+    def disguised(word):
+        out = ""
+        for c in word:
+            c = rng.choice([c, c, c, *[x for x, y in toxicity.LOOKALIKES.items() if c in y]])
+            out += c * rng.choice([1, 1, 1, 2, 4]) + rng.choice(["", "", "", ".", " ", "-", "9"])
+        return out
+
+    for _ in range(400):
+        text = " ".join(rng.choice([disguised(rng.choice(words)), "".join(rng.choices(letters, k=rng.randrange(1, 8))), rng.choice(rows) + rng.choice(".,!?")]) for _ in range(6))
+        marks = {frozenset(f for f in plain.features(t) if f in weights) for t in set(text.lower().split())}
+        marks.add(frozenset(f for f in plain.spaced(text.lower()) if f in weights))
+        marks.discard(frozenset())
+        assert scorer(text) == (max((weights[f] for m in marks for f in m), default=0.0), len(marks)), text
+
+
 def test_toxicity(awkward, empty, spark):
     import random
 
