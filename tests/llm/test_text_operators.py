@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docquire.llm import decontam, mixing, near_dup, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
+from docquire.llm import common, decontam, mixing, near_dup, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
 
 from . import brute
 
@@ -546,3 +546,28 @@ def test_texts_of_megabytes(spark, documents):
     assert got(pii.personal_data(df))[1].spans == ""
     ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(rows[0][1], add_special_tokens=False).ids + [1]
     assert got(tokens.tokenized(df))[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+class _Unset:
+    """A session that names no shared folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = self, self
+        self.master, self.chosen = master, None
+
+    def get(self, *_):
+        return None
+
+    def getCheckpointDir(self):
+        return self.chosen
+
+    def setCheckpointDir(self, path):
+        self.chosen = path
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(_Unset(master))
+    for master in ("local", "local[*]", "local[8]", "local[4,2]"):
+        assert common.shared_dir(_Unset(master))
