@@ -10,6 +10,7 @@ scores the restored text by the words and word beginnings that mark toxic docume
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small, table, text_key
+from .common import free, settle, small, table, text_key
 
 #: Symbols of the character model: 0 is a word's edge, the last any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -48,6 +49,8 @@ PREFIXES = (4, 5, 6)
 FIT_ROWS = 20_000
 #: Tokens whose readings a worker remembers, and features whose counts it holds before it hands them on.
 MOST_TOKENS, MOST_COUNTS = 30_000, 200_000
+#: Different places of a feature that a worker holds.
+PLACES = 8
 
 
 def _class_table() -> np.ndarray:
@@ -292,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on ``docs``.
 
     The character model counts all texts. Markers are the words and word beginnings found in at least
-    ``min_toxic`` toxic documents of the sample and with odds of at least 20 to 1; the sample bounds their number. Held-out rows are never read here.
+    ``min_toxic`` toxic documents of the sample, at as many places between different tokens, so that near copies of one document
+    mark no words, and with odds of at least 20 to 1; the sample bounds their number. Held-out rows are never read here.
     Null and empty texts have no features, null labels don't count, of several labels of an id the largest does, and where rows share
     ids and would be more than ``fit_rows``, one of each id counts. Without labelled rows nothing is toxic. An empty table gives a model without markers.
     """
@@ -300,31 +304,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = _fit_sample(docs, labels, id_col, text_col, label_col, fit_rows)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, cache, totals = Restorer(characters), {}, (Counter(), Counter())
+        restorer, cache, totals, places = Restorer(characters), {}, (Counter(), Counter()), {}
 
         def found() -> pa.RecordBatch:
             names = list(totals[0].keys() | totals[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([totals[1][f] for f in names], pa.int64()), pa.array([totals[0][f] for f in names], pa.int64())], names=["feature", "toxic", "clean"])
+            counts = [pa.array([t[f] for f in names], pa.int64()) for t in totals[::-1]]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts, pa.array([sorted(places.get(f, ())) for f in names], pa.list_(pa.int64()))], names=["feature", "toxic", "clean", "places"])
 
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
                 lower, features = (text.as_py() or "").lower(), set()
-                for token in set(lower.split()):
+                tokens = lower.split()
+                for token in set(tokens):
                     if token not in cache:
                         cache[token] = tuple(restorer.features(token))
                     features.update(cache[token])
+                if label > 0:  # where it stands: between which tokens; some places of each are enough
+                    for before, token, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
+                        for f in cache[token]:
+                            if len(held := places.setdefault(f, set())) < PLACES:
+                                held.add(zlib.crc32(f"{before} {after}".encode("utf-8", "replace")))
                 if len(cache) > MOST_TOKENS:
                     cache.clear()
                 totals[int(label > 0)].update(features | restorer.spaced(lower))
                 if len(totals[0]) + len(totals[1]) > MOST_COUNTS:
                     yield found()
-                    totals = (Counter(), Counter())
+                    totals, places = (Counter(), Counter()), {}
         yield found()
 
     sizes = dict(sample.groupBy("label").count().collect())
     n_toxic, n_clean = sum(v for k, v in sizes.items() if k > 0), sum(v for k, v in sizes.items() if k <= 0)
-    counts = sample.mapInArrow(counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= min_toxic)
-    counts = settle(counts, "features")
+    parts = settle(sample.mapInArrow(counted, "feature string, toxic long, clean long, places array<long>"), "features")
+    counts = parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= min_toxic)
+    apart = parts.filter(F.size("places") > 0).select("feature", F.explode("places").alias("place")).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("places"))
+    counts = settle(counts.join(apart.filter(F.col("places") >= min_toxic), "feature", "left_semi"), "counts")
+    free(parts)
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     strong = counts.withColumn("weight", odds).filter(F.col("weight") >= float(np.log(20)))
     weights = {r["feature"]: r["weight"] for r in strong.collect()}  # each stands in min_toxic of the fit_rows documents
