@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import struct
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from typing import Any
 
 import pandas as pd
@@ -187,6 +187,27 @@ def decode(data: bytes | bytearray | memoryview) -> dict:
     return out
 
 
+#: Bytes of the values of types that have a fixed size.
+_FIXED = {DOUBLE: 8, INT32: 4, INT64: 8, DATETIME: 8, BOOLEAN: 1, NULL: 0, OBJECT_ID: 12}
+
+
+def decode_fields(data: bytes | bytearray | memoryview, names: Collection[str]) -> dict:
+    """The top-level fields with some names, of a document that is known to be well-formed: all others are skipped over unread."""
+    raw = bytes(data)
+    reader, wanted, at, end, out = _Reader(raw), {n.encode(): n for n in names}, 4, len(raw) - 1, {}
+    while at < end:
+        kind, stop = raw[at], raw.index(b"\0", at + 1)
+        name, at = raw[at + 1 : stop], stop + 1
+        if name in wanted:
+            out[wanted[name]], at = reader.value(kind, at, end, 0)
+        elif kind in _FIXED:
+            at += _FIXED[kind]
+        else:
+            size = int.from_bytes(raw[at : at + 4], "little")
+            at += size if kind in (DOCUMENT, ARRAY) else 4 + size + (kind == BINARY)
+    return out
+
+
 def is_valid(data: bytes | None) -> bool:
     """Whether bytes are a well-formed document, of values held here or not."""
     if data is None:

@@ -8,7 +8,7 @@ import struct
 import pytest
 
 from docquire import DocumentTooLarge, InvalidBSON, InvalidDocument, ObjectId, UnsupportedType, decode, encode
-from docquire.functions.bson import bson_from_json, bson_is_valid, bson_to_json, is_valid
+from docquire.functions.bson import bson_from_json, bson_is_valid, bson_to_json, decode_fields, is_valid
 from docquire.sources.files import read_bson, records
 
 VALUES = [None, True, False, 0, -1, 2**31 - 1, 2**31, -(2**63), 2**63 - 1, 0.0, -0.0, 1.5, math.inf, "", "é😀", "a\0b", b"", b"\x00\xff", ObjectId("0123456789abcdef01234567"), dt.datetime(1969, 1, 1), {}, [], [1, "a", None, [2]], {"a": {"b": {"c": 1}}}, {"a.b": 1, "$x": 2}]
@@ -101,3 +101,14 @@ def test_files(spark, tmp_path):
     assert [decode(d)["i"] for _, d in records(log)] == [0, 2, 3, 4]
     rows = read_bson(spark, str(tmp_path)).collect()
     assert sorted((r.path[-1], decode(r.doc)["i"]) for r in rows) == [("g", 0), ("g", 2), ("g", 3), ("g", 4)] + [("n", i) for i in range(5)]
+
+
+def test_some_fields_alone():
+    doc = {"a": 1, "b": 1 << 40, "c": 2.5, "d": "é" * 9, "e": b"\0x", "f": None, "g": True, "h": [1, {"x": "y"}], "i": {"a": {"b": 1}}, "j": ObjectId(), "k": dt.datetime(2020, 1, 2), "": "empty", "a.b": 7}
+    raw = encode(doc)
+    for n in range(len(doc) + 1):
+        names = list(doc)[::-1][:n]
+        assert decode_fields(raw, names) == {k: doc[k] for k in doc if k in names}
+    for name in doc:
+        assert decode_fields(raw, [name, "no such"]) == {name: doc[name]}
+    assert decode_fields(encode({}), ["a"]) == {}
