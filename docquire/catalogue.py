@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import DocumentError, DuplicateKeyError
+from .errors import DocumentError, DuplicateKeyError, OperationFailure, UnsupportedType
 from .functions.bson import bson_from_json, bson_is_valid, bson_to_json, decode, utf8_is_valid
-from .functions.objectid import object_id, object_id_from_hex, object_id_hex, object_id_time
+from .functions.objectid import ObjectId, object_id, object_id_from_hex, object_id_hex, object_id_time
 from .operators.constraints import unique_violations
 from .operators.distinct import distinct
 from .operators.find import Find
@@ -379,6 +379,55 @@ def _utf8(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", utf8_is_valid(broken).alias("valid"))
 
 
+def _index_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Which kinds of values an index holds; null and missing are keys too."""
+    coll, rows = _collection(spark), []
+    coll.create_index("a")
+    values = {"number": 1, "fraction": 1.5, "boolean": True, "null": None, "time": dt.datetime(1969, 1, 1), "id": ObjectId(), "string": "x", "bytes": b"x", "list": [1], "document": {"b": 1}, "nan": float("nan")}
+    for name, v in [*values.items(), ("missing", ...)]:
+        try:
+            coll.insert_one({} if v is ... else {"a": v})
+            rows.append((name, True))
+        except (UnsupportedType, ValueError):
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "name string, held boolean")
+
+
+def _maintained(spark: SparkSession, sf: str) -> DataFrame:
+    """A unique index follows updates, deletions and replacements: what they free can be used again."""
+    coll = _filled(spark, sf, "nation", "n_nationkey", index=None)
+    coll.create_index("n_nationkey", unique=True)
+    coll.delete_one({"n_nationkey": 3}), coll.insert_one({"n_nationkey": 3, "n_name": "A"})
+    coll.update_one({"n_nationkey": 4}, {"$inc": {"n_nationkey": 100}}), coll.insert_one({"n_nationkey": 4, "n_name": "B"})
+    coll.replace_one({"n_nationkey": 5}, {"n_nationkey": 105, "n_name": "C"}), coll.insert_one({"n_nationkey": 5, "n_name": "D"})
+    try:
+        coll.update_many({"n_nationkey": {"$gte": 6}}, {"$set": {"n_nationkey": 6}})
+    except DuplicateKeyError:
+        pass
+    return coll.frame("n_nationkey int, n_name string").drop("_seq")
+
+
+def _times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times before and after the epoch, stored in milliseconds and compared as moments."""
+    coll, day = _collection(spark), dt.timedelta(days=1, microseconds=1500)
+    keys = [r[0] for r in _read(spark, sf, "nation").select("n_nationkey").collect()]  # 25 rows
+    coll.insert_many([{"k": k, "t": dt.datetime(1969, 12, 29) + k * day} for k in keys])
+    found = coll.find({"t": {"$lt": dt.datetime(1970, 1, 3, 2, tzinfo=dt.timezone(dt.timedelta(hours=2)))}}).sort("t")
+    return spark.createDataFrame([(d["k"], (d["t"] - dt.datetime(1970, 1, 1)) // dt.timedelta(milliseconds=1)) for d in found], "n_nationkey int, ms long")
+
+
+def _collision(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two writers that start from one version the second fails, and changes nothing."""
+    coll = _filled(spark, sf, "region", "r_regionkey")
+    version, failed = coll._manifest(), 0
+    coll.delete_one({"r_regionkey": 0})
+    try:
+        coll._commit(version | {"live": 99})
+    except OperationFailure:
+        failed = 1
+    return spark.createDataFrame([(failed, coll.estimated_document_count())], "failed int, n long")
+
+
 _add("estimated_count", "SELECT count(*) AS n FROM customer", _estimated)
 _add("index_equality", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 77", _indexed)
 _add("record_read", "SELECT n_name, CAST(20 AS BIGINT) AS live, CAST(25 AS BIGINT) AS records FROM nation WHERE n_nationkey = 5", _records)
@@ -389,6 +438,18 @@ _add("cursor_rewind", "SELECT n_nationkey, n_regionkey, n_name FROM nation ORDER
 _add("store_reopen", "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'NEW' ELSE r_name END AS r_name FROM region", _reopened)
 _add("validation", "SELECT * FROM (VALUES ('filter operator', TRUE), ('filter list', TRUE), ('update operator', TRUE), ('update empty', TRUE), ('update number', TRUE), ('replacement', TRUE), ('fine', FALSE)) AS t(name, rejected)", _rejected)
 _add("objectid_hex", "SELECT r_regionkey, printf('%08x', r_regionkey * 1000) AS seconds, TRUE AS same, CAST(r_regionkey AS BIGINT) AS below FROM region", _object_ids)
+_add(
+    "index_keys",
+    "SELECT * FROM (VALUES ('number', TRUE), ('fraction', TRUE), ('boolean', TRUE), ('null', TRUE), ('time', TRUE), ('id', TRUE), ('missing', TRUE), ('string', FALSE), ('bytes', FALSE), ('list', FALSE), ('document', FALSE), ('nan', FALSE)) AS t(name, held)",
+    _index_keys,
+)
+_add(
+    "index_maintenance",
+    "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (3, 4, 5) UNION ALL SELECT 104, n_name FROM nation WHERE n_nationkey = 4 UNION ALL SELECT * FROM (VALUES (3, 'A'), (4, 'B'), (105, 'C'), (5, 'D'))",
+    _maintained,
+)
+_add("times", "SELECT n_nationkey, CAST((n_nationkey - 3) * 86400000 + n_nationkey * 1500 // 1000 AS BIGINT) AS ms FROM nation WHERE n_nationkey < 5", _times)
+_add("writers_collide", "SELECT 1 AS failed, CAST(4 AS BIGINT) AS n", _collision)
 _add("utf8_validate", "SELECT doc_id, doc_id % 3 = 2 AS valid FROM documents", _utf8)
 _add("bson_roundtrip", "SELECT * FROM customer", _roundtrip)
 _add("bson_validate", "SELECT count(*) AS n FROM orders", lambda s, d: _as_bson(_read(s, d, "orders").select("o_orderkey", "o_totalprice")).filter(bson_is_valid(F.col("doc"))).agg(F.count(F.lit(1)).alias("n")))
