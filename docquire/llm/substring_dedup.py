@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
@@ -30,6 +30,8 @@ from .sketch import MOST_CELLS, SHARD_CELLS, Test, named, scan_repeated
 
 U = np.uint64
 WINDOW, ANCHOR = 13, 8
+#: Words of a passage that is told if documents share it.
+PASSAGE = 51
 #: Of the sketch.
 BYTES_PER_KEY, CELLS_PER_KEY = 20, 3
 LAST = (1 << 63) - 1
@@ -94,11 +96,20 @@ def _shas(texts: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts], pa.string())
 
 
+def _in_passages(starts: Column, window: int, passage: int) -> Column:
+    """Words in runs of neighbouring windows, given by their starts in order, that hold ``passage`` words at least."""
+    words = lambda a: F.when(a["last"] - a["first"] + window >= passage, a["last"] - a["first"] + window).otherwise(0)
+    zero = F.struct(F.lit(0).alias("first"), F.lit(-window).alias("last"), F.lit(0).alias("n"))
+    step = lambda a, x: F.when(x == a["last"] + 1, F.struct(a["first"].alias("first"), x.alias("last"), a["n"].alias("n"))).otherwise(F.struct(x.alias("first"), x.alias("last"), (a["n"] + words(a)).alias("n")))
+    return F.aggregate(starts, zero, step, lambda a: a["n"] + words(a)).cast("long")
+
+
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, most_cells: int = MOST_CELLS, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """What remains of each document.
 
-    Returns one row per input row: ``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, the remaining words joined by one
+    Returns one row per input row: ``doc_id, n_words, n_removed, kept_sha256, n_passage`` (and ``kept``, the remaining words joined by one
     space, if ``keep_text``). A word goes if a window of ``window`` words around it also starts in a document with a smaller id.
+    ``n_passage`` tells of long passages whoever keeps them: the words of all runs of PASSAGE words or more whose windows documents with other ids have as well, summed up.
     Null and empty texts have no words. A null id is larger than all others and equal to other null ids; rows that share an id
     never remove from each other. An empty table gives no rows. Only the named columns are read. A text is processed whole, in
     about 60 times its bytes of a worker's memory; texts of 2 GB or more are beyond Arrow's arrays.
@@ -116,33 +127,40 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         order = np.lexsort((rank, c, h))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)
-        least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else rank
-        sure = np.zeros(len(order), bool)
-        sure[order] = rank[order] > least
+        sure, also = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        if len(order):
+            group, first, ranked = np.cumsum(new) - 1, np.flatnonzero(new), rank[order]
+            sure[order] = ranked > ranked[first][group]
+            also[order] = (ranked == ranked[first][group]) & (ranked[np.append(first[1:], len(order)) - 1] > ranked[first])[group]
         lists = [by_text(x[~sure], owner[~sure], n) for x in (at, h, c)]
-        columns = [pa.array(np.diff(windows.bounds)), _shas(_joined(windows.words, windows.bounds)), *lists, by_text(at[sure], owner[sure], n)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), *columns], names=["doc_id", "name", "n_words", "sha", "at", "h", "c", "sure"])
+        columns = [pa.array(np.diff(windows.bounds)), _shas(_joined(windows.words, windows.bounds)), *lists, by_text(at[sure], owner[sure], n), by_text(at[also], owner[also], n)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), *columns], names=["doc_id", "name", "n_words", "sha", "at", "h", "c", "sure", "also"])
 
     keys = lambda texts: Windows(texts, window).keys()
-    schema = "doc_id long, name binary, n_words long, sha string, at array<int>, h array<long>, c array<int>, sure array<int>"
+    schema = "doc_id long, name binary, n_words long, sha string, at array<int>, h array<long>, c array<int>, sure array<int>, also array<int>"
     scanned = scan_repeated(source, keys, scan, schema, BYTES_PER_KEY, CELLS_PER_KEY, most_cells, shard_cells)
     numbered = settle(scanned.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "*"), "windows")
     free(scanned)
     # of a text that several rows have, the first of the least id stands for all of that id, or without a window for all; the others go as a whole
-    copies = numbered.groupBy("name").agg(F.min(F.struct("rank", "rid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = settle(copies.select("name", F.col("first.rank").alias("least"), F.col("first.rid").alias("rep")), "copies")
+    copies = numbered.groupBy("name").agg(F.min(F.struct("rank", "rid")).alias("first"), F.max("rank").alias("most"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = settle(copies.select("name", F.col("first.rank").alias("least"), "most", F.col("first.rid").alias("rep")), "copies")
     marked = numbered.join(small(copies), "name", "left")
     goes = F.coalesce(F.col("rank") > F.col("least"), F.lit(False)) & (F.col("n_words") >= window)
     marked = marked.withColumn("rep", F.when(~goes, F.coalesce("rep", "rid")))
     # exact grouping of what the sketch lets through, one exchange; a key has at most one id for each batch, and a window of rows spills
     once = marked.filter(F.col("rep") == F.col("rid"))
     rows = once.filter(F.col("h").isNotNull()).select("rid", "rank", F.explode(F.arrays_zip("h", "c", "at")).alias("x")).select("rid", "rank", "x.h", "x.c", "x.at")
-    least = F.min("rank").over(Window.partitionBy("h", "c"))
-    gone = rows.select("rid", "rank", "at", least.alias("least")).filter(F.col("rank") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("gone"))
-    gone = settle(gone, "gone")
-    wanted = once.select("rid", "doc_id", "name", "sure").join(gone, "rid", "left")
+    alike = Window.partitionBy("h", "c")
+    two = rows.select("rid", "rank", "at", F.min("rank").over(alike).alias("least"), F.max("rank").over(alike).alias("most")).filter("least < most")
+    goes = F.col("rank") > F.col("least")
+    gone = two.groupBy("rid").agg(F.collect_list(F.when(goes, F.col("at"))).alias("gone"), F.collect_list(F.when(~goes, F.col("at"))).alias("held"))
+    gone = settle(gone.withColumn("gone", F.when(F.size("gone") > 0, F.col("gone"))), "gone")
+    starts = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<int>")) for x in ("sure", "also", "gone", "held")])))
+    told = once.select("rid", "sure", "also").join(gone, "rid", "left").select(F.col("rid").alias("rep"), _in_passages(starts, window, PASSAGE).alias("told"))
+    told = settle(told.filter("told > 0"), "told")
+    wanted = once.select("rid", "doc_id", "name", "sure").join(gone.drop("held"), "rid", "left")
     wanted = settle(wanted if keep_text else wanted.filter(F.col("gone").isNotNull() | F.col("sure").isNotNull()), "wanted")
-    rows = settle(marked.select("rid", "rep", "doc_id", "n_words", "sha"), "rows")
+    rows = settle(marked.select("rid", "rep", "doc_id", "n_words", "sha", (F.col("least") < F.col("most")).alias("shared")), "rows")
     free(numbered, copies, gone)
     texts = named(source, wanted)
     same = (wanted["name"] == texts["name"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])
@@ -166,13 +184,14 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     done = todo.mapInArrow(finish, "rep long, n_removed long, left string" + ", kept string" * keep_text)
     done = settle(done.dropDuplicates(["rep"]), "done")  # two rows of one text and id may meet in ``texts``; they are equal
     free(wanted)
-    out = rows.join(done, "rep", "left")
+    out = rows.join(done, "rep", "left").join(told, "rep", "left")
     whole = F.col("rep").isNull()
     return out.select(
         "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
+        F.when(F.col("shared"), F.when(F.col("n_words") >= PASSAGE, F.col("n_words")).otherwise(0)).otherwise(F.coalesce("told", F.lit(0))).cast("long").alias("n_passage"),
         *([F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep_text else []),
     )
 
@@ -187,12 +206,16 @@ WITH d AS (
 w AS (
   SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g
   FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
-o AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
-gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS k FROM w JOIN o USING (g) WHERE doc_id > least),
+o AS (SELECT g, min(doc_id) AS least, max(doc_id) AS most FROM w GROUP BY g),
+shared AS (SELECT rid, doc_id, i, least FROM w JOIN o USING (g) WHERE least < most),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS k FROM shared WHERE doc_id > least),
 x AS (SELECT rid, ws[k] AS word, k FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS k FROM d)),
 kept AS (
   SELECT x.rid, count(gone.k) AS n, string_agg(word, ' ' ORDER BY x.k) FILTER (gone.k IS NULL) AS text
-  FROM x LEFT JOIN gone ON x.rid = gone.rid AND x.k = gone.k GROUP BY x.rid)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (rid)
+  FROM x LEFT JOIN gone ON x.rid = gone.rid AND x.k = gone.k GROUP BY x.rid),
+runs AS (SELECT rid, count(*) + 12 AS n FROM (SELECT rid, i, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS run FROM shared) GROUP BY rid, run),
+told AS (SELECT rid, sum(n) AS n FROM runs WHERE n >= 51 GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256,
+       CAST(coalesce(told.n, 0) AS BIGINT) AS n_passage
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN told USING (rid)
 """
