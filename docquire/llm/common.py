@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import math
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -125,6 +126,18 @@ def blocks(df: DataFrame, key: str) -> list[DataFrame]:
     return [F.broadcast(df if n == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For functions of Arrow batches: a worker that waits for its next task holds no memory that this one is done with."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return tidied
+
+
 def portions(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``limit`` bytes in a column, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import splitmix
-from .common import free, portions, settle
+from .common import free, portions, settle, tidy
 
 U = np.uint64
 #: Rows of a sketch, and the most cells of a row of one that is broadcast: at most 32 MB reach an executor's worker.
@@ -68,6 +68,7 @@ def _merged(source: DataFrame, keys_of: Keys, cells: int) -> np.ndarray:
 
     block = min(BLOCK, cells >> 3)
 
+    @tidy
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -124,6 +125,7 @@ def _sharded(source: DataFrame, keys_of: Keys, scan, schema: str, shards: int, c
     held = settle(source.withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK)), "held")
     of_shard = lambda keys: (splitmix(keys ^ U(0x5851F42D4C957F2D)) % U(shards)).astype(np.int64)
 
+    @tidy
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sketch of a chunk in each shard, as the list of its keys and which of them it has more than once."""
         for batch in batches:
@@ -171,6 +173,7 @@ def scan_repeated(source: DataFrame, keys_of: Keys, scan, schema: str, bytes_per
         cells *= 2
     sketch = source.sparkSession.sparkContext.broadcast(_merged(source, keys_of, cells))
 
+    @tidy
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sketch.value
         for batch in batches:
@@ -194,6 +197,7 @@ def named(source: DataFrame, names: DataFrame) -> DataFrame:
         bits[b] = v
     shared, columns = source.sparkSession.sparkContext.broadcast(bits), source.columns
 
+    @tidy
     def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:

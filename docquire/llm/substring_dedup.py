@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
-from .common import by_text, free, settle, small, table
+from .common import by_text, free, settle, small, table, tidy
 from .sketch import MOST_CELLS, SHARD_CELLS, Test, named, scan_repeated
 
 U = np.uint64
@@ -166,6 +166,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = (wanted["name"] == texts["name"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])
     todo = wanted.join(texts, same).select("rid", "sure", "gone", "text")
 
+    @tidy
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, bounds = split_words(batch.column("text"))

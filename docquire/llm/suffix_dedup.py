@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as B
-from .common import by_text, free, settle, small, table
+from .common import by_text, free, settle, small, table, tidy
 from .sketch import MOST_CELLS, SHARD_CELLS, Test, named, scan_repeated
 
 U = np.uint64
@@ -240,6 +240,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = (wanted["name"] == texts["name"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])
     joined = wanted.join(texts, same).select("rid", "alone", "wlo", "whi", "slo", "shi", "sw", "edges", "text")
 
+    @tidy
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[list] = [[] for _ in range(4)]  # row, window, two names
@@ -265,6 +266,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = windows.select("rid", "w", (F.min(place).over(alike) != F.max(place).over(alike)).alias("hit")).filter("hit").groupBy("rid").agg(F.collect_set("w").alias("hits"))
     last = opened.filter("alone").select("rid", "text", "wlo", "whi", "slo", "shi", "sw", "hw").join(hits, "rid", "left")
 
+    @tidy
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, shas = [], [], []

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, small, table, text_key
+from .common import settle, small, table, text_key, tidy
 
 MAGIC = b"DQTOKS1\n"
 TRAILER = struct.Struct("<QIII8s")
@@ -56,6 +56,19 @@ def _gather(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.n
     return flat[np.repeat(starts - before, counts) + np.arange(counts.sum())], counts
 
 
+class _Slots(dict):
+    """Numbers pieces as they come; those since the last look are in ``new``. What stands between words has number -1."""
+
+    def __init__(self):
+        super().__init__({"\n": -1})
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self) - 1
+        self.new.append(piece)
+        return n
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file, each distinct word of a batch once.
 
@@ -72,7 +85,7 @@ class WordEncoder:
     #: About 200 bytes each: some 80 MB in a worker when all are held.
     MOST_PIECES = 400_000
     #: Ids that are put together at a time.
-    TOGETHER = 1 << 20
+    TOGETHER = 1 << 18
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -89,7 +102,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = _Slots()
         self.flat, self.ends = np.zeros(0, self.kind), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,20 +119,20 @@ class WordEncoder:
             if len(ends) != len(part) or ends[-1] != len(ids):  # the tokenizer splits otherwise: ask it piece by piece
                 ids, counts = self._whole(part)
                 ends = np.cumsum(counts)
-            self.slots.update(zip(part, range(len(self.slots), len(self.slots) + len(part)), strict=True))
             self.ends = np.concatenate([self.ends, len(self.flat) + ends])
             self.flat = np.concatenate([self.flat, ids])
 
-    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words, flat, and how many each has."""
-        pieces = pa.array(self.PIECE.findall("\n".join(words).lower())).dictionary_encode()
-        names, codes = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        between = codes == (names.index("\n") if len(words) > 1 else -1)
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), "\n")
+        pieces = self.PIECE.findall(line[0].as_py().lower())
         if len(self.slots) > self.MOST_PIECES:
             self._forget()
-        self._learn([x for x in names if x != "\n" and x not in self.slots])
-        slots = np.array([self.slots.get(x, 0) for x in names], np.int64)
-        ids, counts = _gather(self.flat, self.ends, slots[codes[~between]])
+        slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        self._learn(self.slots.new)
+        self.slots.new = []
+        between = slots < 0
+        ids, counts = _gather(self.flat, self.ends, slots[~between])
         return ids, np.bincount(np.cumsum(between)[~between], counts, len(words)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
@@ -133,17 +146,17 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         plain = pc.match_substring_regex(words.dictionary, self.PLAIN)
         parts, place = [(self.end, np.ones(1, np.int64))], np.zeros(len(words.dictionary), np.int64)
-        for mask, encode in ((plain, self._plain), (pc.invert(plain), self._whole)):
-            if some := words.dictionary.filter(mask).to_pylist():
+        for mask, encode in ((plain, self._plain), (pc.invert(plain), lambda some: self._whole(some.to_pylist()))):
+            if len(some := words.dictionary.filter(mask)):
                 place[np.flatnonzero(mask)] = sum(len(c) for _, c in parts) + np.arange(len(some))
                 parts.append(encode(some))
         flat, ends = np.concatenate([x for x, _ in parts]), np.cumsum(np.concatenate([c for _, c in parts]))
         # the words of all texts, each text followed by the end id
         after = np.cumsum(pc.list_value_length(split).to_numpy())
-        line = np.insert(place[words.indices.to_numpy()], after, 0)
-        size = np.diff(ends, prepend=0)
+        line = np.insert(place.astype(np.int32)[words.indices.to_numpy()], after, 0)
+        size = np.diff(ends, prepend=0).astype(np.int32)
         last = after + np.arange(1, len(after) + 1)  # where each text ends in ``line``
-        upto = np.cumsum(size[line])[last - 1]
+        upto = np.cumsum(size[line], dtype=np.int64)[last - 1]
         begin = 0
         while begin < len(texts):
             done = upto[begin - 1] if begin else 0
@@ -233,6 +246,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     dictionary = train_dictionary(samples) if samples else b""
     width = coder.kind.itemsize
 
+    @tidy
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, k = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
@@ -272,6 +286,7 @@ def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
     order = Window.orderBy("first_id", "first_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("shard_start"))
 
+    @tidy
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("shard").to_pylist(), batch.column("blob"), strict=True):

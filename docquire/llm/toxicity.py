@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, settle, small, table, text_key
+from .common import free, settle, small, table, text_key, tidy
 
 #: Symbols of the character model: 0 is a word's edge, the last any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -64,6 +64,7 @@ def _class_table() -> np.ndarray:
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Trigram counts of the symbols of all texts: ``tri``, ``n``."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, total = _class_table(), np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
@@ -303,6 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     characters = character_model(docs, text_col)
     sample = _fit_sample(docs, labels, id_col, text_col, label_col, fit_rows)
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, cache, totals, places = Restorer(characters), {}, (Counter(), Counter()), {}
 
@@ -343,6 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     strong = counts.withColumn("weight", odds).filter(F.col("weight") >= float(np.log(20)))
     weights = {r["feature"]: r["weight"] for r in strong.collect()}  # each stands in min_toxic of the fit_rows documents
 
+    @tidy
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(characters, weights)
         for batch in batches:
@@ -364,6 +367,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Only the named columns are read.
     """
 
+    @tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Scorer(model.characters, model.weights)
         for batch in batches:
