@@ -35,8 +35,10 @@ GC_BYTES = 16 << 20
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A table of a folder. One of fewer parts than there are cores, such as a single file, is dealt out to all of them; larger ones are read as they are."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

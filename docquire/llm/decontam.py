@@ -156,7 +156,7 @@ def clean_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark", spread=False)).drop("key")
 
 
 SQL = r"""

@@ -146,7 +146,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents", spread=False)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

@@ -319,4 +319,4 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, id
 
 
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
-    return tokenized(table(spark, sf_dir, "documents"))
+    return tokenized(table(spark, sf_dir, "documents", spread=False))  # they are dealt out in order of their ids

@@ -393,4 +393,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("key")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels", spread=False))).drop("key")
