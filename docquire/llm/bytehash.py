@@ -1,8 +1,8 @@
-"""Vectorised hashing of byte and word windows with numpy.
+"""Vectorised hashing of windows with numpy.
 
-Polynomial hashes modulo 2**64 over random values of bytes: prefix sums make the
-hash of any window a subtraction and a multiplication. Every table derives from fixed
-seeds, so all workers agree.
+Polynomial hashes modulo 2**64 over values that are mixed already, such as names of words or of short runs of bytes: over plain letters
+such sums can be made to collide. Prefix sums make the hash of any window a subtraction and a multiplication. All
+bases derive from fixed seeds, so all workers agree.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ class Roll:
     def __init__(self, seed: int):
         self.base = int(splitmix(np.array([seed], np.uint64))[0]) | 1
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = splitmix(np.arange(256, dtype=np.uint64) + U(seed * 1000 + 7))
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 

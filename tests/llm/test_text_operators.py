@@ -1,6 +1,5 @@
 """Each operator on awkward rows, on an empty table, and against its plain version."""
 
-import hashlib
 import zlib
 from collections import Counter, defaultdict
 
