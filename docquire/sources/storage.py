@@ -45,9 +45,14 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at()) if folders is None or s.isDirectory() == folders)
 
+    def stamp(self, name: str) -> tuple[int, int]:
+        """When a file was changed, in milliseconds, and how long it is."""
+        status = self._fs.getFileStatus(self._at(name))
+        return status.getModificationTime(), status.getLen()
+
     def age(self, name: str) -> float:
         """Seconds since a file or folder was changed."""
-        return time.time() - self._fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+        return time.time() - self.stamp(name)[0] / 1000
 
     def read(self, name: str) -> bytes:
         stream = self._fs.open(self._at(name))

@@ -203,6 +203,16 @@ def test_readers_outlive_compaction(spark, tmp_path):
     assert len(c._folder.names()) == 2 and c.count_documents() == 8 + store_module.KEPT + 1
 
 
+def test_a_collection_made_anew_is_seen(spark, tmp_path):
+    one, other = (DocStore(spark, str(tmp_path / "n")).d.c for _ in range(2))
+    one.insert_one({"i": 1})
+    assert other.find_one()["i"] == 1
+    one.drop()
+    assert other.find_one() is None
+    one.insert_one({"i": 2, "longer": True})
+    assert other.find_one()["i"] == 2 == one.find_one()["i"]
+
+
 def test_catalogue_and_bulk(spark, tmp_path):
     with DocStore(spark, str(tmp_path / "s")) as s:
         assert s.list_database_names() == []
