@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, settle, small, table, text_key, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def repeated_words(ws: Column) -> Column:
@@ -49,15 +49,15 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("text"))
     rows = rows.select("*", words(F.col("text")).alias("ws"))
     rows = rows.select("*", repeated_words(F.col("ws")).alias("grams"))
-    text, bare = F.col("text"), F.translate(F.col("text"), SPACE_CHARS, "")
+    text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     rows = rows.select(
         "doc_id",
         "host",
         text_key(text).alias("key"),
         F.size("ws").cast("long").alias("n_words"),
-        F.length(bare).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.when(F.size(F.array_distinct("grams")) < F.size("grams"), covered_words(F.col("grams"), 3)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         lines.alias("lines"),
     )
@@ -65,7 +65,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), normal.alias("normal")).drop("lines")
     rows = rows.withColumn(
         "lines",
-        F.transform("normal", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))),
+        F.transform("normal", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))),
     ).drop("normal")
     return settle(rows.withColumn("rid", F.monotonically_increasing_id()), "quality")
 
