@@ -11,7 +11,8 @@ Documents that agree on a band of coordinates become candidates. Equal texts are
 buckets propose all their links, and of large ones each node the one to its best hub, a member that shares most with others. Members of a
 large bucket that this leaves apart are compared in blocks, those with likely partners by their whole shingle sets, and propose the
 links that join them; a bucket too large for that is dealt into finer ones first, of members that
-agree on further bands. All proposed links are verified exactly.
+agree on further bands. What that leaves apart of such a bucket is joined by its rarest shingles: two sets of
+the similarity asked for share one of those, so no link is lost. All links are verified exactly.
 Links are joined into classes by alternating star contraction.
 """
 
@@ -37,12 +38,16 @@ K = BANDS * BAND_ROWS
 PAIRS = 12
 #: Members of larger buckets that are apart are compared in blocks of about so many.
 BLOCK = 256
-#: Buckets of more pairs of blocks are dealt into finer ones first, at most so often.
+#: Buckets of more pairs of blocks are dealt into finer ones first, at most so often, and joined by their rarest shingles then.
 MOST_BLOCKS, DEEPER = 64, 3
+#: Counters that order shingles by how many sets have them; fewer cost time only, any order being right.
+COUNTERS = 1 << 20
 #: Elements that darts are thrown for at a time, and bytes of the texts that are signed at a time (one longer text is signed alone).
 ELEMENTS, TEXT_BYTES = 1 << 16, 1 << 20
 #: Pairs whose signatures agree on less than this are at least four standard deviations below the threshold.
 ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
+#: The same at six, for what is joined by shingles.
+SURE = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 
 #: Rank strips: the first is [0, 2 ** FIRST), each further one ends at twice the end of the last.
 FIRST, STRIPS = -7, 40
@@ -192,13 +197,13 @@ def _shingle_table(some: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: s
     return found
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, likely: bool = False) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of THRESHOLD or more.
 
-    Signatures rule out what is far below, unless that is known; for the rest the shingle sets of the texts themselves are compared.
+    Signatures rule out what is far below; for the rest the shingle sets of the texts themselves are compared.
     """
     sketches = nodes.select("node", "sketch")
-    both = pairs if likely else pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
     @tidy
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +212,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, K) for c in ("sa", "sb"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= ESTIMATE))
 
-    likely = settle(both if likely else both.mapInArrow(near, "a binary, b binary"), "likely")
+    likely = settle(both.mapInArrow(near, "a binary, b binary"), "likely")
     found = _shingle_table(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, id_col, text_col)
+    links = _compared(likely, found)
+    free(likely, found)
+    return links
+
+
+def _compared(likely: DataFrame, found: DataFrame) -> DataFrame:
+    """Settled pairs (a, b) whose shingle sets, in ``found``, are similar enough."""
     pairs = likely.join(found.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(found.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
 
     @tidy
@@ -221,9 +233,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                 keep.append(same >= THRESHOLD * (len(x) + len(y) - same) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = settle(pairs.select("a", "b", "x", "y").mapInArrow(compared, "a binary, b binary"), "links")
-    free(likely, found)
-    return links
+    return settle(pairs.select("a", "b", "x", "y").mapInArrow(compared, "a binary, b binary"), "links")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -246,37 +256,47 @@ def near_labels(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     tried = settle(pairs.distinct(), "pairs")
     free(shared, *([hubs] if several else []))
     links, written = _verified(tried, nodes, docs, id_col, text_col), [tried]
-    label = settle(components(links), "joined")
-    while several:
-        new = _apart_links(large, label, nodes, docs, id_col, text_col)
-        n = new.count()
-        if not n:
-            break
-        found = _verified(new, nodes, docs, id_col, text_col, likely=True)
-        links = links.unionByName(found)
-        written += [label, new, found]
-        label = settle(components(links), "joined")
-        # what was proposed joins all that can be, if all of it holds
-        several = found.count() < n
+    label, rest = settle(components(links), "joined"), large if several else None
+    for whole in (False, True):
+        if rest is not None:
+            written.append(rest)
+            new, rest = _apart_links(rest, label, nodes, docs, id_col, text_col, whole)
+            written.append(new)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                written.append(label)
+                label = settle(components(links), "joined")
     free(large, *written)
     return label
 
 
-def _apart_links(large: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Settled links (a, b) between a bucket's members with different labels, enough of them to join all that any would."""
+def _bodies(member: DataFrame) -> DataFrame:
+    """Settled ``band, body, columns, rows`` of the buckets with several labels; a bucket's largest component is compared with what is outside it, not with itself."""
+    sizes = member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    body = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    return settle(body.select("band", F.col("x.label").alias("body"), F.ceil(F.col("m") / BLOCK).alias("columns"), F.ceil((F.col("m") - F.col("x.n")) / BLOCK).alias("rows")), "bodies")
+
+
+def _apart_links(large: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Settled links (a, b) between a bucket's members with different labels, enough of them to join all that any would.
+
+    Buckets of too many blocks are joined by their rarest shingles if ``whole``. Otherwise only finer ones of them
+    are compared, by further bands; the rows of ``large`` that this leaves to a whole join come second.
+    """
     member = large.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"), F.array("band").alias("used"))
-    members, bodies, parts, depth = [member := settle(member, "members")], [], [], 0
+    members, bodies, parts, depth, rest = [member := settle(member, "members")], [], [], 0, None
+    fits = F.col("rows") * F.col("columns") <= MOST_BLOCKS
     while True:
-        sizes = member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        # a bucket's largest component is compared with what is outside it, not with itself
-        body = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("several")).filter("several > 1")
-        bodies.append(body := settle(body.select("band", F.col("x.label").alias("body"), F.ceil(F.col("m") / BLOCK).alias("columns"), F.ceil((F.col("m") - F.col("x.n")) / BLOCK).alias("rows")), "bodies"))
+        bodies.append(body := _bodies(member))
         there = member.join(small(body), "band")
-        fits = F.col("rows") * F.col("columns") <= MOST_BLOCKS
         if depth == DEEPER or body.filter(~fits).isEmpty():
             parts.append(there)
             break
         parts.append(there.filter(fits))
+        if not depth:
+            rest = there.filter(~fits)
+            if whole:
+                break
         bands = nodes.select("node", F.explode("bands").alias("other"))
         finer = there.filter(~fits).join(bands, "node").filter(~F.array_contains("used", F.col("other")))
         members.append(member := settle(finer.select(F.xxhash64("band", "other").alias("band"), "node", "label", F.concat("used", F.array("other")).alias("used")), "members"))
@@ -284,12 +304,113 @@ def _apart_links(large: DataFrame, label: DataFrame, nodes: DataFrame, docs: Dat
     member = parts[0]
     for part in parts[1:]:
         member = member.unionByName(part)
-    member = settle(member.drop("used").join(nodes.select("node", "sketch"), "node"), "apart")
+    # zeros forbid nothing
+    links = _block_links(member.drop("used").withColumns({"size": F.lit(0), "after": F.lit(0)}), nodes, docs, id_col, text_col, ESTIMATE)
+    if rest is not None and whole:
+        by_shingle = _rest_links(rest.select("node", "label").distinct(), nodes, docs, id_col, text_col)
+        both = settle(links.unionByName(by_shingle).distinct(), "proposed")
+        free(links, by_shingle)
+        links, rest = both, None
+    elif rest is not None:
+        rest = settle(large.join(rest.select("band").distinct(), "band", "left_semi"), "rest")
     free(*members, *bodies)
+    return links, rest
+
+
+def _needed(x, y):
+    """What two sets of these sizes must share to be similar enough, and a little less."""
+    return (x + y) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
+
+
+def _places(found: DataFrame) -> DataFrame:
+    """Settled ``band, node, size, after``: the rarest shingles of each set in ``found`` (node, set), how many it has, and how many from this one on.
+
+    Shingles are put in one order for all sets, those that few have first. The first one that two sets of sizes x and y share
+    has all others that they share behind it in both, so what comes from it on is at least what they must share, and thus a
+    share THRESHOLD of either set at least. Any order would do; this one leaves the fewest sets together.
+    """
+    spark, shift = found.sparkSession, U(64 - COUNTERS.bit_length() + 1)
+
+    @tidy
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "set", TEXT_BYTES):
+                at, n = np.unique(np.frombuffer(b"".join(part.column("set").to_pylist()), "<u8") >> shift, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n)], names=["cell", "n"])
+
+    def packed(group: pa.Table) -> pa.Table:
+        return pa.table([pa.array([x.to_numpy().astype("<i8").tobytes()]) for x in (group["cell"], group["n"])], names=["cells", "n"])
+
+    counted = found.select("set").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = np.ones(COUNTERS, np.int64)
+    for at, n in counted.groupBy(F.floor(F.col("cell") / (1 << 16))).applyInArrow(packed, "cells binary, n binary").collect():  # at most COUNTERS numbers
+        counts[np.frombuffer(at, "<i8")] = np.frombuffer(n, "<i8")
+    shared = spark.sparkContext.broadcast(counts.clip(max=2**31 - 1).astype(np.int32))
+
+    @tidy
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for part in portions(batch, "set", TEXT_BYTES):
+                picked, sizes, after = [], [], []
+                for raw in part.column("set"):
+                    names = np.frombuffer(raw.as_buffer(), "<u8")
+                    seen, n = counts[names >> shift], len(names)
+                    first = np.lexsort((names, seen))[: n - int(np.ceil(THRESHOLD * n - 1e-6)) + 1]
+                    kept = seen[first] > 1  # others have no partner
+                    picked.append(names[first][kept])
+                    after.append(n - np.flatnonzero(kept))
+                    sizes.append(n)
+                owner = np.repeat(np.arange(part.num_rows), [len(x) for x in picked])
+                if len(owner):
+                    columns = [pa.array(np.concatenate(picked).view(np.int64)), part.column("node").take(pa.array(owner)), pa.array(np.array(sizes, np.int64)[owner]), pa.array(np.concatenate(after).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["band", "node", "size", "after"])
+
+    out = settle(found.select("node", "set").mapInArrow(rarest, "band long, node binary, size long, after long"), "places")
+    shared.unpersist()
+    return out
+
+
+def _rest_links(member: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Settled links (a, b) between nodes (node, label) with different labels, enough of them to join all that any would."""
+    member = settle(member, "members")
+    found = _shingle_table(member.select("node"), nodes, docs, id_col, text_col)
+    places = _places(found)
+    # of two partners the smaller one has its place this early
+    early = F.col("after") >= _needed(F.col("size"), F.col("size"))
+    places_ = places.join(member, "node")
+    bands = places_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(early).alias("early")).filter("early and x != y").select("band", "n")
+    shared = settle(places_.join(bands, "band").select("band", "node", "label", "size", "after", "n"), "shared")
+    free(places)
+    few = shared.filter(F.col("n") <= BLOCK)
+    left, right = few.filter(early).alias("l"), few.alias("r")
+    order = F.struct("l.size", "l.node") < F.struct("r.size", "r.node")
+    enough = F.least("l.after", "r.after") >= _needed(F.col("l.size"), F.col("r.size"))
+    pairs = left.join(right, F.col("l.band") == F.col("r.band")).filter(order & enough & (F.col("l.label") != F.col("r.label")))
+    tried = settle(pairs.select(*_ordered(F.col("l.node"), F.col("r.node"))).distinct(), "tried")
+    near = _compared(tried, found)
+    free(found, tried)
+    many = shared.filter(F.col("n") > BLOCK).drop("n")
+    if many.isEmpty():
+        free(member, shared)
+        return near
+    body = _bodies(many)
+    links = _block_links(many.join(small(body), "band"), nodes, docs, id_col, text_col, SURE)
+    both = settle(links.unionByName(near), "proposed")
+    free(member, shared, body, links, near)
+    return both
+
+
+def _block_links(member: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, estimate: float) -> DataFrame:
+    """Settled links (a, b) that join the labels in each bucket of ``member`` (band, node, label, size, after, body, rows, columns), all members compared in blocks.
+
+    Signatures that agree on less than ``estimate`` are passed over, and so is what ``size`` and ``after`` of a shared shingle forbid.
+    """
+    member = settle(member.join(nodes.select("node", "sketch"), "node"), "apart")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    outside = member.filter(F.col("label") != F.col("body")).select("band", own("rows").alias("row"), every("columns").alias("column"), "node", "label", "sketch")
-    inside = member.select("band", every("rows").alias("row"), own("columns").alias("column"), "node", "label", "sketch")
+    outside = member.filter(F.col("label") != F.col("body")).select("band", own("rows").alias("row"), every("columns").alias("column"), "node", "label", "size", "after", "sketch")
+    inside = member.select("band", every("rows").alias("row"), own("columns").alias("column"), "node", "label", "size", "after", "sketch")
 
     def hopeful(left: pa.Table, right: pa.Table) -> pa.Table:
         """The members of a block that have a likely partner with another label."""
@@ -297,10 +418,13 @@ def _apart_links(large: DataFrame, label: DataFrame, nodes: DataFrame, docs: Dat
         if left.num_rows and right.num_rows:
             x, y = (np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u2").reshape(-1, K) for t in (left, right))
             codes = pa.concat_tables([left.select(["label"]), right.select(["label"])])["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            size, after = (np.concatenate([t[c].to_numpy() for t in (left, right)]) for c in ("size", "after"))
+            theirs = slice(left.num_rows, None)
             for i in range(left.num_rows):
-                likely = ((y == x[i]).sum(1) >= ESTIMATE * K) & (codes[left.num_rows :] != codes[i])
-                some[i] = likely.any()
-                other |= likely
+                at = np.flatnonzero((codes[theirs] != codes[i]) & (np.minimum(after[theirs], after[i]) >= _needed(size[theirs], size[i])))
+                likely = at[(y[at] == x[i]).sum(1) >= estimate * K]
+                some[i] = len(likely) > 0
+                other[likely] = True
         names = ["band", "row", "column", "node", "label"]
         return pa.concat_tables([t.select(names).append_column("left", pa.array([first] * t.num_rows, pa.bool_())).filter(pa.array(kept)) for t, kept, first in ((left, some, True), (right, other, False))])
 

@@ -233,6 +233,43 @@ def test_a_large_bucket_without_links(spark, monkeypatch):
     assert sum(tried) < 4 * 2 * len(rows)
 
 
+def few_bands(monkeypatch, bands):
+    """Texts get only the bands of ``bands``, a column of doc_id; blocks are small and few."""
+    signatures = near_dup.signatures
+    monkeypatch.setattr(near_dup, "signatures", lambda *a, **b: signatures(*a, **b).withColumn("bands", bands))
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "MOST_BLOCKS", 1)
+
+
+def near_texts(family, n, words, changes, rng):
+    """n texts of a family, each with some words changed."""
+    out = []
+    for i in range(n):
+        text = [f"f{family}w{j}" for j in range(words)]
+        for j in rng.sample(range(words), rng.choice(changes)):
+            text[j] = f"f{family}n{i}x{j}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_an_overlarge_bucket_loses_no_link(spark, monkeypatch):
+    """Members of a bucket too large to be compared that share no other band are linked as all pairs would be."""
+    import random
+
+    rng = random.Random(8)
+    # the first texts stand in two large buckets, so that one of them, near no other, is the hub of all
+    texts = [" ".join(f"d{i}x{j}" for j in range(9)) for i in range(20)]
+    for family, (n, changes) in enumerate([(40, [1]), (30, [2, 3, 4, 5]), (40, [3]), (24, [1, 9])]):
+        texts += near_texts(family, n, rng.choice([100, 160]), changes, rng)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    one, both = F.array(F.lit(1).cast("long")), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    few_bands(monkeypatch, F.when(F.col("doc_id") < 20, both).otherwise(one))
+    got = dict(near_dup.near_duplicates(df).select("doc_id", "class_id").collect())
+    want = brute.near_classes(rows)
+    assert 25 < len(set(want)) < 110 and [got[d] for d, _ in rows] == want
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_darts_estimate_similarity(similarity):
     rng = np.random.default_rng(4)
