@@ -270,6 +270,21 @@ def test_an_overlarge_bucket_loses_no_link(spark, monkeypatch):
     assert 25 < len(set(want)) < 110 and [got[d] for d, _ in rows] == want
 
 
+def test_the_pipeline_keeps_one_of_an_overlarge_bucket(spark, monkeypatch):
+    """The pipeline's stage drops near copies that share one band only, that of a bucket too large to be compared."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [" ".join(f"d{i}x{j}" for j in range(9)) for i in range(20)] + near_texts(0, 24, 100, [1], rng)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    few_bands(monkeypatch, F.when(F.col("doc_id") < 20, F.expr("array(1L, 2L)")).otherwise(F.expr("array(1L)")))
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute.near_classes(rows))) == list(range(21))
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_darts_estimate_similarity(similarity):
     rng = np.random.default_rng(4)
