@@ -10,8 +10,7 @@ its length and about k log k darts instead of its length times k.
 Documents that agree on a band of coordinates become candidates. Equal texts are one node. Small
 buckets propose all their links, and of large ones each node the one to its best hub, a member that shares most with others. Members of a
 large bucket that this leaves apart are compared in blocks, those with likely partners by their whole shingle sets, and propose the
-links that join them; a bucket too large for that is dealt into finer ones first, of members that
-agree on further bands. What that leaves apart of such a bucket is joined by its rarest shingles: two sets of
+links that join them. Buckets too large for that are joined, all at once, by the rarest shingles of their members: two sets of
 the similarity asked for share one of those, so no link is lost. All links are verified exactly.
 Links are joined into classes by alternating star contraction.
 """
@@ -38,8 +37,8 @@ K = BANDS * BAND_ROWS
 PAIRS = 12
 #: Members of larger buckets that are apart are compared in blocks of about so many.
 BLOCK = 256
-#: Buckets of more pairs of blocks are dealt into finer ones first, at most so often, and joined by their rarest shingles then.
-MOST_BLOCKS, DEEPER = 64, 3
+#: Buckets of more pairs of blocks are joined by their rarest shingles instead.
+MOST_BLOCKS = 64
 #: Counters that order shingles by how many sets have them; fewer cost time only, any order being right.
 COUNTERS = 1 << 20
 #: Elements that darts are thrown for at a time, and bytes of the texts that are signed at a time (one longer text is signed alone).
@@ -280,40 +279,23 @@ def _bodies(member: DataFrame) -> DataFrame:
 def _apart_links(large: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tuple[DataFrame, DataFrame | None]:
     """Settled links (a, b) between a bucket's members with different labels, enough of them to join all that any would.
 
-    Buckets of too many blocks are joined by their rarest shingles if ``whole``. Otherwise only finer ones of them
-    are compared, by further bands; the rows of ``large`` that this leaves to a whole join come second.
+    Buckets of too many blocks are joined by their rarest shingles, all at once, if ``whole``; otherwise their rows of ``large`` come second.
     """
-    member = large.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"), F.array("band").alias("used"))
-    members, bodies, parts, depth, rest = [member := settle(member, "members")], [], [], 0, None
-    fits = F.col("rows") * F.col("columns") <= MOST_BLOCKS
-    while True:
-        bodies.append(body := _bodies(member))
-        there = member.join(small(body), "band")
-        if depth == DEEPER or body.filter(~fits).isEmpty():
-            parts.append(there)
-            break
-        parts.append(there.filter(fits))
-        if not depth:
-            rest = there.filter(~fits)
-            if whole:
-                break
-        bands = nodes.select("node", F.explode("bands").alias("other"))
-        finer = there.filter(~fits).join(bands, "node").filter(~F.array_contains("used", F.col("other")))
-        members.append(member := settle(finer.select(F.xxhash64("band", "other").alias("band"), "node", "label", F.concat("used", F.array("other")).alias("used")), "members"))
-        depth += 1
-    member = parts[0]
-    for part in parts[1:]:
-        member = member.unionByName(part)
+    member = settle(large.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "members")
+    body = _bodies(member)
+    there, fits = member.join(small(body), "band"), F.col("rows") * F.col("columns") <= MOST_BLOCKS
     # zeros forbid nothing
-    links = _block_links(member.drop("used").withColumns({"size": F.lit(0), "after": F.lit(0)}), nodes, docs, id_col, text_col, ESTIMATE)
-    if rest is not None and whole:
-        by_shingle = _rest_links(rest.select("node", "label").distinct(), nodes, docs, id_col, text_col)
-        both = settle(links.unionByName(by_shingle).distinct(), "proposed")
-        free(links, by_shingle)
-        links, rest = both, None
-    elif rest is not None:
-        rest = settle(large.join(rest.select("band").distinct(), "band", "left_semi"), "rest")
-    free(*members, *bodies)
+    links = _block_links(there.filter(fits).withColumns({"size": F.lit(0), "after": F.lit(0)}), nodes, docs, id_col, text_col, ESTIMATE)
+    rest = None
+    if not body.filter(~fits).isEmpty():
+        if whole:
+            by_shingle = _rest_links(there.filter(~fits).select("node", "label").distinct(), nodes, docs, id_col, text_col)
+            both = settle(links.unionByName(by_shingle).distinct(), "proposed")
+            free(links, by_shingle)
+            links = both
+        else:
+            rest = settle(large.join(body.filter(~fits).select("band"), "band", "left_semi"), "rest")
+    free(member, body)
     return links, rest
 
 

@@ -285,6 +285,30 @@ def test_the_pipeline_keeps_one_of_an_overlarge_bucket(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(set(brute.near_classes(rows))) == list(range(21))
 
 
+def test_overlarge_buckets_are_joined_once(spark, monkeypatch):
+    """Near misses that share most of their bands are compared once a bucket and pass, not once for each set of bands they share."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "MOST_BLOCKS", 1)
+    settle, compared = near_dup.settle, []
+
+    def counted(df, name="t", *a):
+        out = settle(df, name, *a)
+        if name == "apart":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "settle", counted)
+    common = [f"s{j}" for j in range(88)]
+    rows = [(i, " ".join(common + [f"n{i}x{j}" for j in range(12)])) for i in range(40)]
+    rows += [(100 + i, " ".join(common + [f"n{i}x{j}" for j in range(3)] + [f"m{i}x{j}" for j in range(9)])) for i in range(0, 40, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute.near_classes(rows))) == list(range(40))
+    assert sum(compared) < 2 * near_dup.BANDS * len(rows)
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_darts_estimate_similarity(similarity):
     rng = np.random.default_rng(4)
