@@ -1,5 +1,7 @@
 """Each operator on awkward rows, on an empty table, and against its plain version."""
 
+import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -367,6 +369,33 @@ def test_decontamination_letters(spark):
     assert [got[i] for i in range(len(docs))] == brute.contaminated(docs, bench)
 
 
+def test_decontamination_counts(spark):
+    """Words end at every other ASCII character and nowhere else."""
+    chars = [*range(1, 0x300), 0x2028, 0x212A, 0x3000, 0xD7FF, 0xE000, 0xFEFF, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]
+    docs = [(c, f"a{chr(c)}B{chr(c)}{chr(c)} 9{chr(c)}") for c in [0, *chars]]
+    out = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "nowhere")], "item_id long, text string"))
+    assert {r.doc_id: r.n_words for r in out.collect()} == {d: x[0] for (d, _), x in zip(docs, brute.contaminated(docs, []), strict=True)}
+
+
+def test_decontamination_counts_cheaply(spark):
+    """Counting the words of texts takes several threads no longer than making them."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    df = spark.createDataFrame([(" ".join(rng.choices(words, k=10_000)),) for _ in range(4)], "text string")
+    df = df.crossJoin(spark.range(60)).repartition(8).cache()
+    df.count()
+
+    def seconds(column):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            df.agg(F.sum(column)).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(F.regexp_count("text", F.lit(decontam.TOKEN))) < 2 * seconds(F.size(decontam.lowered_tokens(F.col("text"))))
+
+
 def test_personal_data(awkward, empty, spark):
     texts = [
         "4111 1111 1111 1111 x 4111-1111-1111-1111 1 2 3", "a@b.c_d@e.f x@y@z.com .@. a@b..c", "1.2.3.4.5.6.7.8 999.1.1.1 001.2.3.255 1.2.3.4567",
